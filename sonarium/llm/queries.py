@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm import ogg, warc
+from sonarium.llm import mixing, ogg, packing, quality, warc
+from sonarium.llm.shared import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,22 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mixture of all sources takes."""
+    made = mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    m = F.col("__mix")
+    return made.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), F.round(m["target"], 6).alias("target"), (m["copies"] * m["size"]).alias("taken"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain rules' figures, the distances from the language's reference, and the verdict."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = stored(quality.measure(documents).drop("text"), "measured")
+    judged = quality.judge(measured, stored(quality.references(measured), "references"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *(F.col("__quality")[n].cast("long").alias(n) for n in names), "__verdict.*")
+
+
 def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as Ogg media, read back and described."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,7 +47,19 @@ def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(media, keep=("doc_id", "n_bytes"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op8_ogg": op8_ogg}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
+    "op8_ogg": op8_ogg,
+    "op9_packing": op9_packing,
+}
 
 ORACLE_SQL = {
     "op1_warc": """

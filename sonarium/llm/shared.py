@@ -47,7 +47,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text, as an array; of a null text, none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " "), "")
 
 
 def split_remainder(column: str, modulus: int) -> Column:

@@ -29,6 +29,8 @@ RECORD = "warc_type string, record_id string, refers_to string, target_uri strin
 #: A member is taken for a record if this much of it, decoded, holds the end of the record's headers.
 HEAD_LIMIT = 1 << 20
 CHUNK = 1 << 18
+#: Byte ranges are dealt to so many tasks at most; a task reads its ranges one after another.
+MOST_TASKS = 20_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -209,7 +211,8 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """
     starts = F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / split_bytes).cast("int")))
     ranges = files.filter("bytes > 0").select("path", "bytes", starts.alias("__k"))
-    ranges = ranges.select("path", "bytes", (F.col("__k").cast("long") * split_bytes).alias("start")).repartition(F.col("path"), F.col("start"))
+    ranges = ranges.select("path", "bytes", (F.col("__k").cast("long") * split_bytes).alias("start"))
+    ranges = ranges.repartition(min(MOST_TASKS, max(1, ranges.count())))
     names = [f.split()[0] for f in RECORD.split(", ")]
     kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64()]
 
