@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm import mixing, ogg, packing, quality, warc
+from sonarium.llm import mixing, ogg, packing, quality, simhash, warc
 from sonarium.llm.shared import stored
 
 
@@ -24,6 +24,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints, and the groups that links of at most two bits make."""
+    found = simhash.by_radius(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fingerprint", F.lit(0))), 16, "0")).alias("fingerprint"), F.col("group").alias("component_id"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mixture of all sources takes."""
     made = mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -55,6 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op8_ogg": op8_ogg,
