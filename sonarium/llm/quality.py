@@ -87,7 +87,9 @@ def measure(df: DataFrame, text: str = "text", out: str = "__quality", rules: bo
             df, used = df.withColumn(name, column), [*used, name]
         df, used = df.withColumn("__l", F.filter(F.split(text_of, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), [*used, "__l"]
         figures |= {"n_repeat_words": F.col("__r"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")}
-    return df.withColumn(out, F.struct(*(c.alias(n) for n, c in figures.items()))).drop(*used)
+    # a row number is never negative; as it counts as nondeterministic, no later filter on the figures is moved below this
+    # projection, where they would be worked out anew for every word
+    return df.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.struct(*(c.alias(n) for n, c in figures.items())))).drop(*used)
 
 
 def base_failed(q: Column, min_words: int = MIN_WORDS) -> Column:

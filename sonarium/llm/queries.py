@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm import mixing, ogg, packing, quality, simhash, warc
+from sonarium.llm import mixing, ogg, packing, pii, quality, simhash, warc
 from sonarium.llm.shared import stored
 
 
@@ -46,6 +46,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("__quality")[n].cast("long").alias(n) for n in names), "__verdict.*")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data, and how many each has."""
+    return pii.with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as Ogg media, read back and described."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op7_pii": op7_pii,
     "op8_ogg": op8_ogg,
     "op9_packing": op9_packing,
 }
