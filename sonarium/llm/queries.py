@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm import mixing, ogg, packing, pii, quality, simhash, warc
+from sonarium.llm import licenses, mixing, ogg, packing, pii, quality, simhash, warc
 from sonarium.llm.shared import stored
 
 
@@ -30,6 +30,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fingerprint", F.lit(0))), 16, "0")).alias("fingerprint"), F.col("group").alias("component_id"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the base phrases stand, and the labels and score of each text."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    f = F.col("__found")
+    at = lambda places: F.transform(places, lambda p: p["at"])
+    base = F.array_distinct(F.transform(f["places"], lambda p: p["label"]))
+    joined = lambda labels: F.array_join(F.sort_array(labels), ",")
+    return found.select(
+        "doc_id", F.size("__w").cast("long").alias("n_words"), F.size(f["places"]).cast("long").alias("n_base"), F.array_min(at(f["places"])).alias("first_word"), F.array_max(at(f["places"])).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.array_union(base, f["labels"])).alias("labels"), f["score"].alias("score"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mixture of all sources takes."""
     made = mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -67,6 +80,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
