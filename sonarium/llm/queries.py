@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm import licenses, mixing, ogg, packing, pii, quality, simhash, warc
-from sonarium.llm.shared import stored
+from sonarium.llm import licenses, mixing, ogg, packing, pii, pu, quality, simhash, warc
+from sonarium.llm.shared import split_remainder, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated probability that a text is of good quality."""
+    held_out = split_remainder("doc_id", 4) == 2
+    rows = stored(pu.with_figures(_table(spark, sf_dir, "documents"), "text", [F.col("doc_id")]), "figures")
+    model = pu.learn(rows, _table(spark, sf_dir, "labels"), held_out=held_out)
+    return pu.scored(rows, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -86,6 +94,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_ogg": op8_ogg,
     "op9_packing": op9_packing,
+    "op10_quality_pu": op10_quality_pu,
 }
 
 ORACLE_SQL = {
