@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm import licenses, mixing, ogg, packing, pii, pu, quality, simhash, warc
+from sonarium.llm import licenses, maxent, mixing, ogg, packing, pii, pu, quality, simhash, warc
 from sonarium.llm.shared import split_remainder, stored
 
 
@@ -59,6 +59,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("__quality")[n].cast("long").alias(n) for n in names), "__verdict.*")
 
 
+def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts under smoothed unigrams and under the maximum-entropy model."""
+    return maxent.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), split_remainder("doc_id", 7) == 2)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and how many each has."""
     return pii.with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
@@ -91,6 +96,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_maxent": op6_maxent,
     "op7_pii": op7_pii,
     "op8_ogg": op8_ogg,
     "op9_packing": op9_packing,
