@@ -117,7 +117,7 @@ def violations(df: DataFrame, scans: DataFrame | None = None) -> DataFrame:
         return found
     needing = df.filter(F.col("key").isin("raw_data", "aligned_data")).select("file_id", "key").distinct()
     missing = F.explode(F.array_except(F.array(*(F.lit(r) for r in REQUIRED)), F.coalesce("entries", F.array().cast("array<string>"))))
-    return found.unionByName(needing.join(scans, "file_id", "left").select("file_id", "key", F.concat(F.lit("no scan entry "), missing).alias("rule")))
+    return found.unionByName(needing.join(scans, "file_id", "left").select("file_id", "key", missing.alias("__m")).select("file_id", "key", F.concat(F.lit("no scan entry "), "__m").alias("rule")))
 
 
 def verasonics_raw(buffer: DataFrame, n_ax: int, n_tx: int, iq: bool = False) -> DataFrame:
