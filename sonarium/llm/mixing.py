@@ -40,45 +40,50 @@ def targets_of(sizes: dict, weights: dict, budget: float, most: int = 3) -> dict
         capped |= over
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, cycle: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", columns: list[str] | None = None) -> DataFrame:
-    """df's columns (or the given ones) and a struct __mix of size, source_size, target, finish and copies.
+def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, cycle: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+    """df's columns and a struct __mix of size, source_size, target and copies.
 
     size is the text's number of words (null: 0); the budget is share times all sizes. copies says how often the mix
-    takes the document, from 0 to `most`; documents without words finish with the one before them. The order within
-    a source follows md5 of seed and id, then id and size, so reruns agree whatever the partitions; rows equal in all
-    of these change places without effect. Documents that tie on finish time are taken or left together. An empty df
-    gives an empty one. One row a source comes to the driver. Sources are cut into runs of some RUN_ROWS rows by hash,
-    whose sums are added up first, so a source with a third of all rows is spread over many tasks.
+    takes the document, from 0 to `most`. The order within a source follows md5 of seed and id, then id and size, so
+    reruns agree whatever the partitions. Rows equal in all of these finish together, and so are taken or left
+    together, as are rows of several sources that finish at the same time. An empty df gives an empty one.
+
+    Finish times are worked out on rows of id and size alone. As they rise along a source's order, all that the
+    documents themselves need is, for each source and round, the last place that is taken: the texts aren't shuffled.
+    A row a source comes to the driver. Sources are cut into runs of some RUN_ROWS rows by hash, whose sums are added
+    up first, so a source with a third of all rows is spread over many tasks.
     """
     spark = df.sparkSession
-    columns = df.columns if columns is None else columns
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
-    sized = df.select(
-        F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(source).alias("__source"), F.col(id_column).alias("__id"), key.alias("__key"),
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^" + SPACE[1:])).cast("long").alias("__size"),
-    )
-    stats = {r["__source"]: (r["size"], r["n"]) for r in sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()}
-    sizes = {s: size for s, (size, _) in stats.items()}
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^" + SPACE[1:])).cast("long")
+    place = F.struct(key.alias("key"), F.col(id_column).alias("id"), size.alias("size"))
+    sized = stored(df.select(F.col(source).alias("source"), place.alias("place")), "sizes")
+    stats = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("place.size").alias("size"), F.count("*").alias("n")).collect()}
+    sizes = {s: n for s, (n, _) in stats.items()}
     weights = weights_of(list(stats), cycle)
     budget = share * sum(sizes.values())
     targets = targets_of(sizes, weights, budget, most)
     table = [(s, k, sizes[s], targets[s], max(1, -(-stats[s][1] // RUN_ROWS))) for k, s in enumerate(weights)]
-    sources = spark.createDataFrame(table, f"__source {df.schema[source].dataType.simpleString()}, __rank long, __total long, __target double, __runs long")
-    sources = sources.withColumnRenamed("__source", "__name")
-    joined = sized.join(F.broadcast(sources) if len(table) <= BROADCAST_SOURCES else sources, F.col("__source").eqNullSafe(F.col("__name")))
-    part = F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    runs = joined.withColumn("__run", F.floor(part * F.col("__runs"))).drop("__name", "__source", "__runs")
+    kind = df.schema[source].dataType.simpleString()
+    small = F.broadcast if len(table) <= BROADCAST_SOURCES else lambda x: x
+    sources = spark.createDataFrame(table, f"__name {kind}, __rank long, __total long, __target double, __runs long")
+    joined = sized.join(small(sources), F.col("source").eqNullSafe(F.col("__name")))
+    part = F.conv(F.substring("place.key", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    runs = joined.select("__rank", "__total", "__target", "place", F.floor(part * F.col("__runs")).alias("__run"))
     before = Window.partitionBy("__rank").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = runs.groupBy("__rank", "__run").agg(F.sum("__size").alias("__sum"))
+    sums = runs.groupBy("__rank", "__run").agg(F.sum("place.size").alias("__sum"))
     offsets = sums.select("__rank", "__run", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("__rank", "__run").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    served = runs.join(offsets, ["__rank", "__run"]).withColumn("__served", F.col("__offset") + F.sum("__size").over(within))
-    served = stored(served.drop("__key", "__id", "__run", "__offset", "__rank"), "mix")
+    within = F.sum("place.size").over(Window.partitionBy("__rank", "__run").orderBy("place"))  # equal places together
+    served = stored(runs.withColumn("__within", within).join(offsets, ["__rank", "__run"]).withColumn("__served", F.col("__offset") + F.col("__within")), "served")
     finish = [F.try_divide(F.lit(e) * F.col("__total") + F.col("__served"), F.col("__target")) for e in range(most)]
-    last = _last_finish(served.select(F.col("__size"), F.explode(F.array(*finish)).alias("__finish")).filter("__finish is not null"), budget, sum(n for _, n in stats.values()))
-    copies = sum((F.when(f <= last, 1).otherwise(0) for f in finish[1:]), F.when(finish[0] <= last, 1).otherwise(0))
-    made = F.struct(F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), finish[0].alias("finish"), copies.cast("long").alias("copies"))
-    return served.select("__row.*", made.alias("__mix"))
+    times = served.select(F.col("place.size").alias("__size"), F.explode(F.array(*finish)).alias("__finish")).filter("__finish is not null")
+    last = _last_finish(times, budget, sum(n for _, n in stats.values()))
+    cuts = served.groupBy("__rank").agg(*(F.max(F.when(f <= last, F.col("place"))).alias(f"__cut{e}") for e, f in enumerate(finish)))
+    plan = stored(sources.drop("__runs").join(cuts, "__rank", "left"), "cuts")
+    taken = sum((F.when(F.col("__place") <= F.col(f"__cut{e}"), 1).otherwise(0) for e in range(1, most)), F.when(F.col("__place") <= F.col("__cut0"), 1).otherwise(0))
+    made = F.struct(F.col("__place.size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("copies"))
+    placed = df.withColumn("__place", place).join(small(plan), F.col(source).eqNullSafe(F.col("__name")))
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), made.alias("__mix"))
 
 
 def _last_finish(times: DataFrame, budget: float, rows: int) -> float:

@@ -45,7 +45,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mixture of all sources takes."""
-    made = mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    made = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     m = F.col("__mix")
     return made.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), F.round(m["target"], 6).alias("target"), (m["copies"] * m["size"]).alias("taken"))
 
