@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarium.llm.components import components
-from sonarium.llm.shared import pieces, stored
+from sonarium.llm.shared import pieces, release, stored
 
 SEED = 42
 PIVOTS = 16
@@ -26,7 +26,8 @@ PIVOTS = 16
 BUCKET = 2048
 #: Rows that are compared at once, at least; the last bucket waits for its end.
 AT_ONCE = 1 << 15
-COMPARED = 3
+#: Words of a fingerprint that are carried into the buckets and compared there: the block's own and the next.
+COMPARED = 2
 #: Fewer words than this leave too few bits to estimate a similarity by.
 LEAST_WORDS = 12
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -140,7 +141,7 @@ def _parts(mask: int, n: int) -> list[int]:
     return [sum(1 << i for i in bits[a:b]) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
-ROWS = "key long, m0 long, m1 long, m2 long, vertex long, c0 long, c1 long, c2 long"
+ROWS = "key long, m0 long, m1 long, vertex long, c0 long, c1 long"
 NAMES = [f.split()[0] for f in ROWS.split(", ")]
 
 
@@ -162,7 +163,7 @@ def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
                 compared = [values[:, (t + i) % count] if i < count else zero for i in range(COMPARED)]
                 for j, mask in enumerate(blocks):
                     key = _mix(values[:, t] & np.uint64(mask), (t << 8 | j) * 0x5851F42D4C957F2D & (1 << 64) - 1)
-                    yield _rows([key, np.full(len(vertex), mask, np.uint64), zero, zero, vertex, *compared])
+                    yield _rows([key, np.full(len(vertex), mask, np.uint64), zero, vertex, *compared])
 
     return vertices.mapInArrow(run, ROWS)
 
@@ -180,7 +181,7 @@ def _split(rows: DataFrame, level: int, parts: int, words: int) -> DataFrame:
                 pieces_of = _parts(int(~mask & FULL), parts) or [0]
                 for j, part in enumerate(pieces_of):
                     made = list(own)
-                    made[0] = _mix(own[0] ^ _mix(own[5 + which] & np.uint64(part), j + 1), level + 7)
+                    made[0] = _mix(own[0] ^ _mix(own[NAMES.index("c0") + which] & np.uint64(part), j + 1), level + 7)
                     made[1 + which] = np.full(len(own[0]), mask | np.uint64(part), np.uint64)
                     yield _rows(made)
 
@@ -250,7 +251,7 @@ def _linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield links(held)
 
-    columns = ["key", "vertex", "c0", "c1", "c2"][: 2 + words]
+    columns = ["key", "vertex", "c0", "c1"][: 2 + words]
     return rows.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
@@ -286,7 +287,7 @@ def link(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample
         level += 1
 
 
-def plan(rows: int, similarity: float, recall: float = 0.995) -> tuple[int, list[int], int]:
+def plan(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, list[int], int]:
     """Words of a fingerprint, blocks of a word, and radius, for sets of shingles that are so similar (Jaccard).
 
     Bits agree as often as 1 - angle / pi. Blocks get two bits fewer than it takes to number the rows, so that buckets
@@ -314,6 +315,7 @@ def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int,
     keyed = rows.withColumn("vertex", vertex)
     vertices = stored(keyed.groupBy("vertex").agg(F.first("fingerprint").alias("fingerprint"), F.min(id_column).alias("first")), "vertices")
     rooted = components(link(vertices.select("vertex", "fingerprint"), blocks, radius, words, sample))
+    release(rows.sparkSession)  # the blocks' shuffle files are the largest there are
     known = vertices.select("vertex", "first").join(rooted, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     known = stored(known, "rooted")
     least = known.groupBy("root").agg(F.min("first").alias("group"))
@@ -327,7 +329,7 @@ def by_radius(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: i
     return near_groups(rows, id_column, _parts((1 << 64) - 1, radius + 1), radius, 1).drop("root")
 
 
-def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """One row of df for each group of near-duplicates, with df's columns: that with the group's least id.
 
     Rows link if their sets of n-word shingles are about `similarity` alike or more, as fingerprints estimate it, and
@@ -344,5 +346,7 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n:
     stay = stored(first.join(copies, F.col("__first") == F.col("__key")).select("__key", "__copies"), "stay")
     kept = df.withColumn("__own", key).join(stay, F.col("__own") == F.col("__key"))
     columns = [F.col(f"`{c}`") for c in df.columns]
+    if stay.filter("__copies > 1").isEmpty():
+        return kept.select(*columns)
     again = kept.filter("__copies > 1").dropDuplicates(["__own"])
     return kept.filter("__copies = 1").select(*columns).unionByName(again.select(*columns))
