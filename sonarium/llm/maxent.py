@@ -86,9 +86,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    """The vocabulary of stored counts. At most `frequent` words and BUCKETS sums come to the driver."""
+    """The vocabulary of stored counts. At most `frequent` words and BUCKETS sums come to the driver: the words are
+    those of the highest steps of frequency that fit together."""
     total, size = counts.agg(F.sum("count"), F.count("*")).first()
-    top = counts.orderBy(F.desc("count"), "word").limit(frequent).collect()
+    step = F.floor(8 * F.log2("count"))  # some hundred steps of how frequent a word is
+    least, left = None, frequent
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda row: -row["step"]):
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["step"]
+    top = [] if least is None else sorted(counts.filter(step >= least).collect(), key=lambda row: (-row["count"], row["word"]))
     words = [bytes(r["word"]) for r in top]
     sums = {r["b"]: (r["n"], r["v"]) for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()}
     bucket_total = np.array([sums.get(b, (0, 0))[0] for b in range(BUCKETS)], np.float64)
@@ -221,7 +229,7 @@ def log_probabilities(w: Weights, flat: tuple[np.ndarray, ...], batch: int = BAT
 
 def _descend(table: np.ndarray, past: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
     """An Adagrad step, row by row, on the sums of the slopes of each row."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits hold any row, and are sorted by radix
     own = rows[order]
     begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     sums, own = np.add.reduceat(slope[order], begin, axis=0), own[begin]
