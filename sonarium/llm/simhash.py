@@ -30,6 +30,8 @@ AT_ONCE = 1 << 15
 COMPARED = 2
 #: Fewer words than this leave too few bits to estimate a similarity by.
 LEAST_WORDS = 12
+#: The side of rows that are compared with all others of their bucket.
+BOTH = 2
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -141,16 +143,37 @@ def _parts(mask: int, n: int) -> list[int]:
     return [sum(1 << i for i in bits[a:b]) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
-ROWS = "key long, m0 long, m1 long, vertex long, c0 long, c1 long"
+ROWS = "key long, mask long, vertex long, c0 long"
 NAMES = [f.split()[0] for f in ROWS.split(", ")]
 
 
-def _rows(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], NAMES)
+def _rows(columns: list[np.ndarray], names: list[str] = NAMES) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names)
+
+
+def _block_keys(values: np.ndarray, blocks: list[int], t: int) -> Iterator[tuple[int, np.ndarray]]:
+    for j, mask in enumerate(blocks):
+        yield mask, _mix(values & np.uint64(mask), (t << 8 | j) * 0x5851F42D4C957F2D & (1 << 64) - 1)
 
 
 def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
-    """A row per vertex, word of its fingerprint and block: the key, the mask agreed on, and the words to compare."""
+    """A row per vertex and block of its only word: the key, the mask agreed on, and the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vertex = batch.column(0).to_numpy().view(np.uint64)
+            values = batch.column(1).flatten().to_numpy().view(np.uint64)
+            for mask, key in _block_keys(values, blocks, 0):
+                yield _rows([key, np.full(len(vertex), mask, np.uint64), vertex, values])
+
+    return vertices.mapInArrow(run, ROWS)
+
+
+def _word_blocks(vertices: DataFrame, blocks: list[int], words: int) -> DataFrame:
+    """A row per vertex, word of its fingerprint and block: the key, the vertex, and the words to compare."""
+    names = ["key", "vertex", *(f"c{i}" for i in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,41 +181,47 @@ def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
                 continue
             vertex = batch.column(0).to_numpy().view(np.uint64)
             values = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(len(vertex), -1)
-            count, zero = values.shape[1], np.zeros(len(vertex), np.uint64)
+            count = values.shape[1]
             for t in range(count):
-                compared = [values[:, (t + i) % count] if i < count else zero for i in range(COMPARED)]
-                for j, mask in enumerate(blocks):
-                    key = _mix(values[:, t] & np.uint64(mask), (t << 8 | j) * 0x5851F42D4C957F2D & (1 << 64) - 1)
-                    yield _rows([key, np.full(len(vertex), mask, np.uint64), zero, vertex, *compared])
+                compared = [values[:, (t + i) % count] if i < count else np.zeros(len(vertex), np.uint64) for i in range(words)]
+                for _, key in _block_keys(values[:, t], blocks, t):
+                    yield _rows([key, vertex, *compared], names)
 
-    return vertices.mapInArrow(run, ROWS)
+    return vertices.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _split(rows: DataFrame, level: int, parts: int, words: int) -> DataFrame:
+def _split(rows: DataFrame, level: int, parts: int) -> DataFrame:
     """Each row as often as there are parts, keyed by one more part of the bits not agreed on yet."""
-    which = level % words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
-            masks = columns[1 + which]
-            for mask in np.unique(masks):
-                own = [c[masks == mask] for c in columns]
-                pieces_of = _parts(int(~mask & FULL), parts) or [0]
-                for j, part in enumerate(pieces_of):
-                    made = list(own)
-                    made[0] = _mix(own[0] ^ _mix(own[NAMES.index("c0") + which] & np.uint64(part), j + 1), level + 7)
-                    made[1 + which] = np.full(len(own[0]), mask | np.uint64(part), np.uint64)
-                    yield _rows(made)
+            for mask in np.unique(columns[1]):
+                key, _, vertex, word = (c[columns[1] == mask] for c in columns)
+                for j, part in enumerate(_parts(int(~mask & FULL), parts) or [0]):
+                    yield _rows([_mix(key ^ _mix(word & np.uint64(part), j + 1), level + 7), np.full(len(key), mask | np.uint64(part), np.uint64), vertex, word])
 
     return rows.mapInArrow(run, ROWS)
 
 
-def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radius: int, pivots: np.ndarray) -> list[tuple[int, int]]:
+def _tiles(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with side, and those of hot keys (key, tiles) as often as their key has tiles: each pair of a hot bucket's
+    row ranges is a bucket of its own, in which pairs of unlike sides are compared, or all where a range meets itself.
+    """
+    own, other = F.pmod(F.xxhash64(F.lit(11), "vertex"), F.col("tiles")), F.col("__other")
+    known = rows.join(hot, "key", "left").withColumn("__own", own)
+    known = known.withColumn("__other", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))))
+    own = F.col("__own")
+    key = F.when(other < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    side = F.when((other < 0) | (own == other), BOTH).otherwise((own > other).cast("int"))
+    return known.select(key.alias("key"), side.cast("long").alias("side"), *rows.columns[1:])
+
+
+def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radius: int, pivots: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span, within each run of equal keys, the graph of the pairs at most radius bits apart.
 
     Pairs are taken by their distance in the run: all neighbours first, then all next but one, and so on. Pairs that
-    links already connect are passed over.
+    links already connect are passed over, and so are, where sides are given, pairs of one side but BOTH.
     """
     n = len(key)
     run = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
@@ -221,6 +250,8 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
             done = np.array([bool((root[a:b] == root[a]).all()) for a, b in zip(begin, stop, strict=True)])
             left = left[~done[np.searchsorted(ends, run[left])]]
         at = left[root[left] != root[left + s]]
+        if side is not None:
+            at = at[(side[at] == BOTH) | (side[at] != side[at + s])]
         for column in table.T:
             at = at[np.abs(column[at] - column[at + s]) <= radius]
         at = at[np.bitwise_count(compared[at] ^ compared[at + s]).sum(axis=1) <= radius]
@@ -233,13 +264,15 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
 
 def _linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
     """Links a, b within the buckets of rows: dealt by key, sorted by it, and compared run by run."""
+    columns = ["key", "vertex", *(f"c{i}" for i in range(words)), *(["side"] if "side" in rows.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = _spread(PIVOTS * COMPARED, 7).reshape(PIVOTS, COMPARED)
         held: list[np.ndarray] | None = None
 
         def links(columns: list[np.ndarray]) -> pa.RecordBatch:
-            made = link_bucket(columns[0], columns[1], np.stack(columns[2 : 2 + words], axis=1).view(np.uint64), radius, pivots)
+            side = columns[2 + words] if len(columns) > 2 + words else None
+            made = link_bucket(columns[0], columns[1], np.stack(columns[2 : 2 + words], axis=1).view(np.uint64), radius, pivots, side)
             return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -251,20 +284,21 @@ def _linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield links(held)
 
-    columns = ["key", "vertex", "c0", "c1"][: 2 + words]
-    return rows.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select(*columns).repartition("key").sortWithinPartitions("key", "vertex").mapInArrow(run, "a long, b long")
 
 
 def link(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int = 1, bucket: int = BUCKET) -> DataFrame:
     """Links a, b between vertices (vertex long, fingerprint array<long>, all of one length) that share a block of a
     word and differ in at most radius bits of that word and the next words-1 ones.
 
-    Within a bucket only as many links are given as connect it. Buckets of more than `bucket` rows, found by counting
-    (the keys of one vertex in `sample`), are split by blocks of the bits that their rows don't yet agree on, as often
-    as needed; rows that agree on all compared words are first linked to the least of them, which stands for all. With one word, blocks that cover all its bits
-    and are one more than the radius, every pair within the radius is connected, whatever the buckets' sizes.
+    Within a bucket only as many links are given as connect it. Buckets of more than `bucket` rows are found by
+    counting (the keys of one vertex in `sample`). With one word, and blocks that cover all its bits and are one more
+    than the radius, they are split by blocks of the bits that their rows don't yet agree on, as often as needed: every
+    pair within the radius is connected, whatever the buckets' sizes. With more words no such blocks keep all pairs, so
+    a large bucket is compared whole, in tiles of row ranges against row ranges.
     """
-    parts = radius + 1 if words == 1 else 3
+    if words > 1:
+        return _linked_words(vertices, blocks, radius, words, sample, bucket)
     level, links = 0, None
     rows = _first_blocks(vertices, blocks)
     while True:
@@ -278,15 +312,21 @@ def link(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample
         more = _linked(rows.join(side, "key", "left_anti").select(*NAMES), radius, words)
         links = more if links is None else links.unionByName(more)
         rows = stored(rows.join(side, "key", "left_semi").select(*NAMES), "split")
-        if words > 1:  # rows that agree on all compared words are linked to the least of them, which alone goes on
-            same = [c for c in NAMES if c != "vertex"]
-            least = stored(rows.groupBy(*same).agg(F.min("vertex").alias("b")), "least")
-            links = links.unionByName(rows.join(least, same).filter("vertex <> b").select(F.col("vertex").alias("a"), "b"))
-            rows = least.withColumnRenamed("b", "vertex").select(*NAMES)
-        rows = stored(_split(rows, level, parts, words), "blocks")
+        rows = stored(_split(rows, level, radius + 1), "blocks")
         level += 1
 
 
+def _linked_words(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int, bucket: int) -> DataFrame:
+    """link() with more words than one: buckets of more than `bucket` rows are compared whole, in tiles."""
+    few = vertices if sample == 1 else vertices.filter(F.pmod(F.xxhash64("vertex"), F.lit(sample)) == 0)
+    counts = _word_blocks(few, blocks, words).groupBy("key").count().filter(F.col("count") > bucket // sample)
+    hot = stored(counts.select("key", F.ceil(F.col("count") * sample / bucket).alias("tiles")), "hot")
+    rows, n = _word_blocks(vertices, blocks, words), hot.count()
+    if n:
+        rows = _tiles(rows, F.broadcast(hot) if n <= 100_000 else hot)
+    return _linked(rows, radius, words)
+
+
 def plan(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, list[int], int]:
     """Words of a fingerprint, blocks of a word, and radius, for sets of shingles that are so similar (Jaccard).
 

@@ -286,3 +286,21 @@ def test_pu_edges(spark, odd):
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert pu.scored(rows.limit(0), pu.learn(rows.limit(0), labels.limit(0))).count() == 0
     assert {r["score"] for r in pu.scored(rows, pu.learn(rows, labels.limit(0))).collect()} == {0.5}
+
+
+def test_simhash_large_buckets_lose_no_link(spark):
+    """Pairs that share one block only, the one that all rows share."""
+    rng = random.Random(9)
+    words, blocks, radius = simhash.plan(400, 0.8)
+    bits = blocks[0].bit_length()
+    prints = []
+    for _ in range(150):
+        one = [rng.getrandbits(64) for _ in range(words)]
+        one[0] &= ~blocks[0]
+        other = [v ^ sum(1 << rng.randrange(bits * k, bits * (k + 1)) for k in range(len(blocks)) if t or k) for t, v in enumerate(one)]
+        prints += [one, other]
+    signed = [[v - (1 << 64) if v >> 63 else v for v in p] for p in prints]
+    vertices = spark.createDataFrame(list(enumerate(signed)), "vertex long, fingerprint array<long>")
+    for bucket in (2048, 20):
+        links = {(min(r), max(r)) for r in simhash.link(vertices, blocks, radius, simhash.COMPARED, bucket=bucket).collect()}
+        assert links == {(2 * i, 2 * i + 1) for i in range(150)}
