@@ -26,10 +26,12 @@ PIVOTS = 16
 BUCKET = 2048
 #: Rows that are compared at once, at least; the last bucket waits for its end.
 AT_ONCE = 1 << 15
-#: Words of a fingerprint that are carried into the buckets and compared there: the block's own and the next.
-COMPARED = 2
+#: Words of a fingerprint that are carried into the buckets and compared there: the block's own and the next two.
+COMPARED = 3
 #: Fewer words than this leave too few bits to estimate a similarity by.
 LEAST_WORDS = 12
+#: Words whose blocks are dealt out at once; their shuffle files go before the next words' are written.
+WORDS_AT_ONCE = 12
 #: The side of rows that are compared with all others of their bucket.
 BOTH = 2
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,8 +173,8 @@ def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
     return vertices.mapInArrow(run, ROWS)
 
 
-def _word_blocks(vertices: DataFrame, blocks: list[int], words: int) -> DataFrame:
-    """A row per vertex, word of its fingerprint and block: the key, the vertex, and the words to compare."""
+def _word_blocks(vertices: DataFrame, blocks: list[int], words: int, some: range) -> DataFrame:
+    """A row per vertex, one of some words of its fingerprint, and block: the key, the vertex, and the words to compare."""
     names = ["key", "vertex", *(f"c{i}" for i in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +184,7 @@ def _word_blocks(vertices: DataFrame, blocks: list[int], words: int) -> DataFram
             vertex = batch.column(0).to_numpy().view(np.uint64)
             values = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(len(vertex), -1)
             count = values.shape[1]
-            for t in range(count):
+            for t in some:
                 compared = [values[:, (t + i) % count] if i < count else np.zeros(len(vertex), np.uint64) for i in range(words)]
                 for _, key in _block_keys(values[:, t], blocks, t):
                     yield _rows([key, vertex, *compared], names)
@@ -319,15 +321,36 @@ def link(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample
 def _linked_words(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int, bucket: int) -> DataFrame:
     """link() with more words than one: buckets of more than `bucket` rows are compared whole, in tiles."""
     few = vertices if sample == 1 else vertices.filter(F.pmod(F.xxhash64("vertex"), F.lit(sample)) == 0)
-    counts = _word_blocks(few, blocks, words).groupBy("key").count().filter(F.col("count") > bucket // sample)
-    hot = stored(counts.select("key", F.ceil(F.col("count") * sample / bucket).alias("tiles")), "hot")
-    rows, n = _word_blocks(vertices, blocks, words), hot.count()
-    if n:
-        rows = _tiles(rows, F.broadcast(hot) if n <= 100_000 else hot)
-    return _linked(rows, radius, words)
-
-
-def plan(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, list[int], int]:
+    longest = vertices.agg(F.max(F.size("fingerprint"))).first()[0] or 0
+    links = vertices.sparkSession.createDataFrame([], "a long, b long")
+    for at in range(0, longest, WORDS_AT_ONCE):
+        some = range(at, min(at + WORDS_AT_ONCE, longest))
+        counts = _word_blocks(few, blocks, words, some).groupBy("key").count().filter(F.col("count") > bucket // sample)
+        hot = stored(counts.select("key", F.ceil(F.col("count") * sample / bucket).alias("tiles")), "hot")
+        rows, n = _word_blocks(vertices, blocks, words, some), hot.count()
+        if n:
+            rows = _tiles(rows, F.broadcast(hot) if n <= 100_000 else hot)
+        links = links.unionByName(stored(_linked(rows, radius, words), "links"))
+        release(vertices.sparkSession)
+    return links
+
+
+def _words_needed(differ: float, bits: int, each: int, radius: int, recall: float) -> int:
+    """Words after which so many of 20,000 drawn pairs, whose bits differ that often, have shared a block of a word and
+    been within the radius there. Drawn, as neighbouring words are compared with the same bits and so aren't independent.
+    """
+    draws, drawn, words = np.random.default_rng(SEED), [], 0
+    found = np.zeros(20_000, bool)
+    while found.mean() < recall:
+        blocks = draws.binomial(bits, differ, (len(found), each))
+        drawn.append((blocks.sum(axis=1) + draws.binomial(64 - bits * each, differ, len(found)), (blocks == 0).any(axis=1)))
+        if len(drawn) == COMPARED:
+            found |= drawn[0][1] & (sum(d for d, _ in drawn) <= radius)
+            drawn, words = drawn[1:], words + 1
+    return words
+
+
+def plan(rows: int, similarity: float, recall: float = 0.995) -> tuple[int, list[int], int]:
     """Words of a fingerprint, blocks of a word, and radius, for sets of shingles that are so similar (Jaccard).
 
     Bits agree as often as 1 - angle / pi. Blocks get two bits fewer than it takes to number the rows, so that buckets
@@ -337,12 +360,9 @@ def plan(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, list[
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = min(32, max(8, math.ceil(math.log2(max(rows, 2))) - 2))
     radius = round(differ * 64 * COMPARED)
-    mean, spread = differ * (64 * COMPARED - bits), math.sqrt(differ * (1 - differ) * (64 * COMPARED - bits))
-    passes = 0.5 * (1 + math.erf((radius + 0.5 - mean) / spread / math.sqrt(2)))
-    needed = math.log(1 - recall) / math.log(1 - passes * (1 - differ) ** bits)
     each = 64 // bits
     blocks = [((1 << bits) - 1) << (bits * k) for k in range(each)]
-    return max(LEAST_WORDS, math.ceil(needed / each)), blocks, radius
+    return max(LEAST_WORDS, _words_needed(differ, bits, each, radius, recall)), blocks, radius
 
 
 def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int, words: int, sample: int = 1) -> DataFrame:
@@ -369,7 +389,7 @@ def by_radius(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: i
     return near_groups(rows, id_column, _parts((1 << 64) - 1, radius + 1), radius, 1).drop("root")
 
 
-def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
     """One row of df for each group of near-duplicates, with df's columns: that with the group's least id.
 
     Rows link if their sets of n-word shingles are about `similarity` alike or more, as fingerprints estimate it, and

@@ -304,3 +304,18 @@ def test_simhash_large_buckets_lose_no_link(spark):
     for bucket in (2048, 20):
         links = {(min(r), max(r)) for r in simhash.link(vertices, blocks, radius, simhash.COMPARED, bucket=bucket).collect()}
         assert links == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+def test_simhash_finds_pairs_at_the_limit(spark):
+    """Pairs whose bits differ as at similarity 0.8: what plan() promises of them, 0.995, holds of those that pass."""
+    assert simhash.COMPARED == 3
+    words, blocks, radius = simhash.plan(213_000, 0.8)
+    bits, differ = blocks[0].bit_length(), np.arccos(1.6 / 1.8) / np.pi
+    chances = np.random.default_rng(3)
+    missed, n = 0, 4000
+    for _ in range(n):
+        apart = chances.random((words, 64)) < differ
+        shared = (apart[:, : len(blocks) * bits].reshape(words, len(blocks), bits).sum(axis=2) == 0).any(axis=1)
+        within = sum(np.roll(apart.sum(axis=1), -k) for k in range(simhash.COMPARED)) <= radius
+        missed += not (shared & within).any()
+    assert missed <= 0.0075 * n
