@@ -8,7 +8,7 @@ whose rows differ by more than the radius in any place cannot be within it and i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -175,7 +175,8 @@ def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
 
 def _word_blocks(vertices: DataFrame, blocks: list[int], words: int, some: range) -> DataFrame:
     """A row per vertex, one of some words of its fingerprint, and block: the key, the vertex, and the words to compare."""
-    names = ["key", "vertex", *(f"c{i}" for i in range(words))]
+    more = vertices.columns[2:]
+    names = ["key", "vertex", *(f"c{i}" for i in range(words)), *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +188,7 @@ def _word_blocks(vertices: DataFrame, blocks: list[int], words: int, some: range
             for t in some:
                 compared = [values[:, (t + i) % count] if i < count else np.zeros(len(vertex), np.uint64) for i in range(words)]
                 for _, key in _block_keys(values[:, t], blocks, t):
-                    yield _rows([key, vertex, *compared], names)
+                    yield _rows([key, vertex, *compared, *(c.to_numpy() for c in batch.columns[2:])], names)
 
     return vertices.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -219,11 +220,12 @@ def _tiles(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return known.select(key.alias("key"), side.cast("long").alias("side"), *rows.columns[1:])
 
 
-def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radius: int, pivots: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radius: int, pivots: np.ndarray, side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span, within each run of equal keys, the graph of the pairs at most radius bits apart.
 
     Pairs are taken by their distance in the run: all neighbours first, then all next but one, and so on. Pairs that
-    links already connect are passed over, and so are, where sides are given, pairs of one side but BOTH.
+    links already connect are passed over, and so are, where sides are given, pairs of one side but BOTH. Where groups
+    are given, every pair of unlike groups is a link.
     """
     n = len(key)
     run = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
@@ -244,7 +246,7 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
         left = left[run[left] == run[left + s]]
         if not len(left):
             return links
-        if s % 16 == 0:  # runs that hang together are done
+        if s % 16 == 0 and group is None:  # runs that hang together are done
             while not np.array_equal(flat := root[root], root):
                 root[:] = flat
             ends = np.unique(run[left])
@@ -254,9 +256,14 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
         at = left[root[left] != root[left + s]]
         if side is not None:
             at = at[(side[at] == BOTH) | (side[at] != side[at + s])]
+        if group is not None:
+            at = at[group[at] != group[at + s]]
         for column in table.T:
             at = at[np.abs(column[at] - column[at + s]) <= radius]
         at = at[np.bitwise_count(compared[at] ^ compared[at + s]).sum(axis=1) <= radius]
+        if group is not None:
+            links += zip(vertex[at].tolist(), vertex[at + s].tolist(), strict=True)
+            continue
         for i in at.tolist():
             a, b = top(i), top(i + s)
             if a != b:
@@ -266,15 +273,16 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
 
 def _linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
     """Links a, b within the buckets of rows: dealt by key, sorted by it, and compared run by run."""
-    columns = ["key", "vertex", *(f"c{i}" for i in range(words)), *(["side"] if "side" in rows.columns else [])]
+    extra = [c for c in ("side", "group") if c in rows.columns]
+    columns = ["key", "vertex", *(f"c{i}" for i in range(words)), *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = _spread(PIVOTS * COMPARED, 7).reshape(PIVOTS, COMPARED)
         held: list[np.ndarray] | None = None
 
         def links(columns: list[np.ndarray]) -> pa.RecordBatch:
-            side = columns[2 + words] if len(columns) > 2 + words else None
-            made = link_bucket(columns[0], columns[1], np.stack(columns[2 : 2 + words], axis=1).view(np.uint64), radius, pivots, side)
+            more = dict(zip(extra, columns[2 + words :], strict=True))
+            made = link_bucket(columns[0], columns[1], np.stack(columns[2 : 2 + words], axis=1).view(np.uint64), radius, pivots, **more)
             return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -297,7 +305,8 @@ def link(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample
     counting (the keys of one vertex in `sample`). With one word, and blocks that cover all its bits and are one more
     than the radius, they are split by blocks of the bits that their rows don't yet agree on, as often as needed: every
     pair within the radius is connected, whatever the buckets' sizes. With more words no such blocks keep all pairs, so
-    a large bucket is compared whole, in tiles of row ranges against row ranges.
+    a large bucket is compared whole, in tiles of row ranges against row ranges; and where vertices have a third column,
+    group long, all pairs of unlike groups are given.
     """
     if words > 1:
         return _linked_words(vertices, blocks, radius, words, sample, bucket)
@@ -365,16 +374,39 @@ def plan(rows: int, similarity: float, recall: float = 0.995) -> tuple[int, list
     return max(LEAST_WORDS, _words_needed(differ, bits, each, radius, recall)), blocks, radius
 
 
-def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int, words: int, sample: int = 1) -> DataFrame:
+def _true_links(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links that the check of pairs a, b lets through, and that connect all that such links between candidates do.
+
+    link() leaves out pairs that other candidates connect. Where one of those fails, what it held together may have
+    fallen apart, though pairs left out would hold it: there all candidates between the parts are checked.
+    """
+    pairs = lambda links: links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = stored(pairs(link(vertices, blocks, radius, words, sample)), "found")
+    release(vertices.sparkSession)  # the blocks' shuffle files are the largest there are
+    true = stored(check(found), "true")
+    if found.count() == true.count():
+        return true
+    held = components(true).withColumnRenamed("root", "group")
+    apart = components(found).join(held, "vertex", "left").withColumn("group", F.coalesce("group", "vertex"))
+    fallen = apart.groupBy("root").agg(F.min("group").alias("one"), F.max("group").alias("other")).filter("one <> other").select("root")
+    apart = stored(vertices.join(apart.join(fallen, "root", "left_semi").select("vertex", "group"), "vertex"), "apart")
+    more = stored(pairs(link(apart, blocks, radius, words)).join(found, ["a", "b"], "left_anti"), "more")
+    return true.unionByName(check(more))
+
+
+def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int, words: int, sample: int = 1, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows (id, fingerprint) with root, the same for all that links connect, and group, the least id of those.
 
-    Equal fingerprints count as one vertex, made before anything is compared. Null ids rank after all others; a group
-    of nothing but null ids has a null group. Every row stays, also repeated ones.
+    Equal fingerprints count as one vertex, made before anything is compared; a check of pairs of vertices a, b says
+    which links count. Null ids rank after all others; a group of nothing but null ids has a null group. Every row
+    stays, also repeated ones.
     """
     vertex = F.get("fingerprint", F.lit(0)) if words == 1 else F.xxhash64("fingerprint")
     keyed = rows.withColumn("vertex", vertex)
     vertices = stored(keyed.groupBy("vertex").agg(F.first("fingerprint").alias("fingerprint"), F.min(id_column).alias("first")), "vertices")
-    rooted = components(link(vertices.select("vertex", "fingerprint"), blocks, radius, words, sample))
+    made = vertices.select("vertex", "fingerprint")
+    links = link(made, blocks, radius, words, sample) if check is None else _true_links(made, blocks, radius, words, sample, check)
+    rooted = components(links)
     release(rows.sparkSession)  # the blocks' shuffle files are the largest there are
     known = vertices.select("vertex", "first").join(rooted, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     known = stored(known, "rooted")
@@ -383,6 +415,27 @@ def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int,
     return keyed.join(groups, "vertex").drop("vertex")
 
 
+def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """vertex and set, the hashes of the distinct n-word shingles, of rows of vertex and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))) for cut in (shingles(t, n) for t in batch.column(1).to_pylist())]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["vertex", "set"])
+
+    return texts.mapInArrow(run, "vertex long, set array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of vertices whose sets' Jaccard similarity is at least so much."""
+    of = lambda end: sets.select(F.col("vertex").alias(end), F.col("set").alias(f"__{end}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = F.size(F.array_intersect("__a", "__b"))
+    return joined.filter(both * (1 + similarity) >= similarity * (F.size("__a") + F.size("__b")) - 1e-6).select("a", "b")
+
+
 def by_radius(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 3, radius: int = 2) -> DataFrame:
     """id, fingerprint (one word) and group of each row: all pairs of fingerprints at most radius bits apart link."""
     rows = stored(fingerprints(df, text, [F.col(id_column)], n), "fingerprints")
@@ -392,15 +445,23 @@ def by_radius(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: i
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
     """One row of df for each group of near-duplicates, with df's columns: that with the group's least id.
 
-    Rows link if their sets of n-word shingles are about `similarity` alike or more, as fingerprints estimate it, and
-    a pair just so alike is found with probability `recall`. Of rows that tie for the least id, that with the least
+    Rows link if their sets of n-word shingles are `similarity` alike or more: fingerprints find candidates, a pair just
+    so alike with probability `recall`, and the sets themselves are compared. Of rows that tie for the least id, that with the least
     hash of its text stays, and of equal rows one. Rows without words are one group.
     """
     key = F.xxhash64(F.lit(0), F.col(text), F.col(id_column))
     total = df.count()
     words, blocks, radius = plan(total, similarity, recall)
     rows = stored(fingerprints(df, text, [F.col(id_column).alias("__id"), key.alias("__key")], n, words, distinct=True), "fingerprints")
-    grouped = near_groups(rows, "__id", blocks, radius, COMPARED, sample=16 if total >= 100_000 else 1).drop("fingerprint")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
+        one = rows.select(F.xxhash64("fingerprint").alias("vertex"), "__key").join(ends, "vertex").groupBy("vertex").agg(F.min("__key").alias("__key"))
+        one = stored(one, "ends")
+        texts = df.select(key.alias("__key"), F.col(text)).join(F.broadcast(one) if one.count() <= 100_000 else one, "__key")
+        return alike(pairs, stored(shingle_sets(texts.select("vertex", text).dropDuplicates(["vertex"]), n), "sets"), similarity)
+
+    grouped = near_groups(rows, "__id", blocks, radius, COMPARED, sample=16 if total >= 100_000 else 1, check=check).drop("fingerprint")
     first = grouped.filter(F.col("__id").eqNullSafe(F.col("group"))).groupBy("root").agg(F.min("__key").alias("__first"))
     copies = grouped.groupBy("__key").agg(F.count("*").alias("__copies"))
     stay = stored(first.join(copies, F.col("__first") == F.col("__key")).select("__key", "__copies"), "stay")
