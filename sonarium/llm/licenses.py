@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare words.
 
-Licence templates are indexed by their words and places. A file's rarest licence words (highest inverse document
-frequency over the whole corpus) are looked up; where enough of them agree on one shift between file and template,
-the template lies there, if its mandatory key phrases stand at their places too. Everything is DataFrame expressions;
+Licence templates are indexed by their rarest words (highest inverse document frequency over the whole corpus) and
+their places. All indexed words of a file are looked up; where enough of them agree on one shift between file and
+template, the template lies there, if its mandatory key phrases stand at their places too. Everything is DataFrame expressions;
 one row is worked on at a time, and only the licence words' document frequencies are shuffled.
 """
 
@@ -38,8 +38,6 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
-#: Distinct licence words of a file that are looked up, rarest first.
-LOOKED_UP = 12
 #: Rarest words of a template that are indexed.
 INDEXED = 4
 #: Of a template's indexed words, this share has to agree on a shift.
@@ -108,9 +106,8 @@ def scan(worded: DataFrame, idf: dict[str, float], words: str = "__w", out: str
     w = F.col(words)
     rows = lambda items: F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(n).alias("n")) for t, p, n in items))
     table = F.create_map(*(x for word, items in index.items() for x in (F.lit(word), rows(items))))
-    rare = sorted(index, key=lambda word: (-idf[word], word))  # by rarity, so that the first of a file's are its rarest
-    df = worded.withColumns({"__places": phrase_places(w, PHRASES, {"apache-2": 0}), "__own": F.slice(F.array_intersect(_array(rare), w), 1, LOOKED_UP)})
-    hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(list(index)) & F.array_contains("__own", x), F.struct(x.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
+    df = worded.withColumns({"__places": phrase_places(w, PHRASES, {"apache-2": 0}), "__own": F.array_intersect(_array(list(index)), w)})
+    hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(list(index)), F.struct(x.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
     df = df.withColumn("__hits", F.when(F.size("__own") > 0, hits))
     shift = lambda h: F.transform(F.element_at(table, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"), p["n"].alias("n")))
     df = df.withColumn("__votes", F.sort_array(F.flatten(F.transform("__hits", shift))))

@@ -346,3 +346,11 @@ def test_near_duplicates_are_exact(spark):
     kept = {r["doc_id"] for r in simhash.one_of_each(rows).select("doc_id").collect()}
     wrong, lost = near & kept, set(range(len(docs))) - near - kept
     assert not lost and len(wrong) <= 1, (len(lost), len(wrong))
+
+
+def test_all_licences_of_one_file_are_found(spark):
+    text = " and then ".join(text for _, text, _ in licenses.TEMPLATES)
+    df = spark.createDataFrame([(0, text), (1, "no notice here")], "doc_id long, text string")
+    found = {r["doc_id"]: r["__found"] for r in licenses.scan_licenses(df).collect()}
+    assert set(found[0]["labels"]) == {label for label, _, _ in licenses.TEMPLATES} and found[0]["score"] == 1
+    print("labels", len(found[0]["labels"]))
