@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -42,17 +43,26 @@ SURNAME_PARTS = {
 TITLES = {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Sra": "f", "Mr": "m", "Herr": "m", "Sr": "m", "Dr": "", "Prof": ""}
 
 LETTERS = r"[^\W\d_]"
+UPPER = "[" + "".join(c for c in map(chr, (*range(0x530), *range(0x1E00, 0x2000))) if c.isupper()) + "]"
+LOWER = "[" + "".join(c for c in map(chr, (*range(0x530), *range(0x1E00, 0x2000))) if c.islower()) + "]"
+TITLED = rf"(?:\b(?:{'|'.join(TITLES)})\b\.? )+"
+#: A capitalised word of a name, also McDonald, O'Brien and Anna-Maria.
+NAME = rf"(?:{UPPER}['’])?{UPPER}{LETTERS}*{LOWER}(?!{LETTERS})"
+NAME = rf"{NAME}(?:-{NAME})*"
+#: Words within a name that are left as they are.
+PARTICLES = {"von", "van", "de", "der", "den", "di", "da", "del", "la", "le", "zu"}
+BEFORE = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
 #: Type and pattern, in order: where two match at a place, the first is taken.
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![\w:]|\.\d)"),
     ("ipv4", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)"),
     ("secret", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64}|[0-9A-F]{32,64})\b"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w-])(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{13,16})(?![\w-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("person", rf"\b(?:{'|'.join(TITLES)})\b\.? {LETTERS}+(?:[ -]{LETTERS}+)?"),
+    ("phone", r"(?<![\w+])\+\d(?:[ ./-]?\(?\d\)?){7,14}(?![\w-])|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)"),
+    ("person", rf"{TITLED}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}"),
 ]
 FINDER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 #: A text without a digit, an @ or a title has no entity.
@@ -66,16 +76,43 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     found = []
     for m in FINDER.finditer(text):
         kind, value = m.lastgroup, m[0]
-        if kind == "person" and not _cased(value.split(" ", 1)[1]):
+        if kind == "ipv6" and not _address(value):
             continue
         if kind == "secret" and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
         found.append((m.start(), m.end(), kind))
-    return found
+    names = {n for a, b, kind in found if kind == "person" for n in _bare(text[a:b])}
+    if not names:
+        return found
+    spans, k = list(found), 0
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))})(?!\w)", text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or found[k][0] >= m.end():
+            spans.append((m.start(), m.end(), "person"))
+    return sorted(spans)
 
 
-def _cased(name: str) -> bool:
-    return all(part[:1].isupper() and part[1:].islower() for part in re.split("[ -]", name))
+def _address(value: str) -> bool:
+    """Whether an address is valid; a short form with few digits, such as the slice 1::2, is none."""
+    groups = [g for g in value.split(":") if g]
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return "::" not in value or len(groups) > 1 and max(map(len, groups)) > 2 and any(c.isdigit() for c in value)
+
+
+def _named(value: str) -> tuple[str, str]:
+    """The titles of a mention, with the space after them, and the name; a bare name has no title."""
+    at = m.end() if (m := re.match(TITLED, value)) else 0
+    return value[:at], value[at:]
+
+
+def _bare(value: str) -> list[str]:
+    """The whole name of a mention and each word of it, by which it may be mentioned again."""
+    name = _named(value)[1]
+    return [name, *(part for part in name.split(" ") if part not in PARTICLES)]
 
 
 def normal(kind: str, value: str) -> str:
@@ -86,10 +123,12 @@ def normal(kind: str, value: str) -> str:
         return re.sub(r"[^\d+]", "", value)
     if kind == "iban":
         return value.replace(" ", "")
-    if kind in ("email", "ipv6"):
+    if kind == "email":
         return value.lower()
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     if kind == "person":
-        return value.split(" ", 1)[1]
+        return _named(value)[1]
     return value
 
 
@@ -183,15 +222,17 @@ def gender_of(given: str) -> str:
 def _person(key: bytes, value: str, attempt: int) -> str:
     """Title kept, given name from the list of its gender and script, surname made up; each follows from its own part,
     so that a surname alone is replaced as it is after a given name."""
-    title, name = value.split(" ", 1)
+    title, name = _named(value)
     *first, last = name.split(" ")
-    gender = TITLES[title.rstrip(".")] or (gender_of(first[0]) if first else "") or "fm"[_number(key, 2, "gender", name)]
+    told = [g for t in title.split() if (g := TITLES[t.rstrip(".")])]
+    gender = told[-1] if told else (gender_of(first[0]) if first else "") or "fm"[_number(key, 2, "gender", name)]
     script = script_of(name)
     heads, middles, tails = SURNAME_PARTS[script]
     parts = [heads, *[middles] * (2 + 2 * attempt), tails]
     surname = "".join(table[_number(key, len(table), "surname", str(i), last)] for i, table in enumerate(parts))
     given = GIVEN[(script, gender)]
-    return " ".join([title, *(given[_number(key, len(given), "given", g)] for g in first), surname])
+    longer = lambda g: "".join(middles[_number(key, len(middles), "longer", str(i), g)] for i in range(2 * attempt))
+    return title + " ".join([*(g if g in PARTICLES else given[_number(key, len(given), "given", g)] + longer(g) for g in first), surname])
 
 
 def _email(key: bytes, value: str, attempt: int) -> str:
@@ -214,8 +255,7 @@ def _ipv4(key: bytes, value: str) -> str:
 
 
 def _ipv6(key: bytes, value: str) -> str:
-    groups = value.lower().split(":")
-    fresh = permuted(key, "".join(g.rjust(4, "0") for g in groups), 16)
+    fresh = permuted(key, ipaddress.IPv6Address(value).exploded.replace(":", ""), 16)
     return ":".join(fresh[i : i + 4] for i in range(0, 32, 4))
 
 
@@ -227,7 +267,7 @@ def _shaped(fresh: str, symbols: Callable[[str], bool], value: str) -> str:
 def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
     """The replacement of a mention: it follows from the key, the type and the normalised value, in the mention's form.
 
-    Later attempts draw names and addresses from longer, so many more, possible ones.
+    Later attempts draw given names, surnames and addresses from longer, so many more, possible ones.
     """
     own = hmac.digest(key, kind.encode(), "sha256")
     plain = normal(kind, value)
@@ -257,10 +297,15 @@ def keys_for(attempts: dict[str, int], key: bytes = KEY) -> dict[str, tuple[byte
 
 
 def replaced(text: str, found: list[tuple[int, int, str]], keys: dict[str, tuple[bytes, int]]) -> str:
-    """The text with its entities' replacements."""
-    out, at = [], 0
+    """The text with its entities' replacements; a bare name gets what replaces it after a title."""
+    out, at, known = [], 0, {}
+    for start, end, kind in found:
+        if kind == "person" and _named(text[start:end])[0]:
+            fresh = surrogate(kind, text[start:end], *keys[kind])
+            known = dict(zip(_bare(text[start:end]), _bare(fresh), strict=True)) | known
     for start, end, kind in found:
-        out += [text[at:start], surrogate(kind, text[start:end], *keys[kind])]
+        value = text[start:end]
+        out += [text[at:start], known[value] if kind == "person" and not _named(value)[0] else surrogate(kind, value, *keys[kind])]
         at = end
     return "".join(out) + text[at:]
 
@@ -270,7 +315,7 @@ def known_entities(df: DataFrame, text: str, keys: dict[str, tuple[bytes, int]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            seen = {(kind, normal(kind, t[a:b])): t[a:b] for t in batch.column(0).to_pylist() for a, b, kind in entities(t)}
+            seen = {(kind, normal(kind, t[a:b])): t[a:b] for t in batch.column(0).to_pylist() for a, b, kind in entities(t) if kind != "person" or _named(t[a:b])[0]}
             rows = [(kind, entity, normal(kind, surrogate(kind, value, *keys[kind]))) for (kind, entity), value in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "entity", "surrogate"])
 

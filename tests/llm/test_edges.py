@@ -354,3 +354,30 @@ def test_all_licences_of_one_file_are_found(spark):
     found = {r["doc_id"]: r["__found"] for r in licenses.scan_licenses(df).collect()}
     assert set(found[0]["labels"]) == {label for label, _, _ in licenses.TEMPLATES} and found[0]["score"] == 1
     print("labels", len(found[0]["labels"]))
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [
+        ("Mr. Smith said so", ["Smith"]), ("then Dr. Weber called", ["Weber"]), ("Mrs. McDonald", ["McDonald"]), ("Mr O'Brien left", ["Brien"]), ("Frau Anna-Maria Weber kam", ["Anna", "Maria", "Weber"]),
+        ("Mr. John Paul Smith", ["John", "Smith"]), ("Prof. Dr. Weber", ["Weber"]), ("Herr von Berg ging", ["Berg"]), ("Mr. Smith came. Later Smith left, and Smith's dog.", ["Smith"]), ("Mrs. Anna Lee and Dr. Kim Lee; Anna Lee, Kim", ["Anna", "Lee", "Kim"]),
+        ("call +49 30 1234567 now", ["1234567"]), ("call +33 1 23 45 67 89 now", ["23 45 67 89"]), ("at 2001:db8::8a2e:370:7334 or fe80::1, end", ["2001:db8", "fe80"]),
+    ],
+)
+def test_plain_personal_data_goes(text, gone):
+    fresh = pii.replaced(text, pii.entities(text), pii.keys_for({}))
+    assert not [g for g in gone if g in fresh], fresh
+
+
+def test_bare_names_follow_and_code_stays():
+    text = "Mrs. Kim Lee came. Kim Lee and Lee sat; the Leeds bus"
+    fresh = pii.replaced(text, pii.entities(text), pii.keys_for({})).split()
+    assert fresh[1:3] == fresh[4:6] and fresh[2] == fresh[7] and fresh[-2] == "Leeds"
+    assert pii.entities("x[1::2] std::cout a::b [::-1] 10::20 Mr. and the ms. of 12") == []
+    assert pii.normal("ipv6", "2001:db8::1") == pii.normal("ipv6", "2001:0DB8:0:0:0:0:0:1")
+
+
+def test_many_given_names_of_one_surname_settle(spark):
+    names = [f"Mrs. {a}{b} Weber" for a in "ABCDEFGHIJ" for b in ("na", "lia", "mira", "rosa")]
+    keys = pii.settled_keys(spark.createDataFrame([(n,) for n in names], "text string"))
+    assert len({pii.normal("person", pii.surrogate("person", n, *keys["person"])) for n in names}) == len(names)
