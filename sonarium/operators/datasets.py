@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sonarium.functions.columns import order_key
+from sonarium.llm.shared import stored
 
 
 def number_frames(df: DataFrame, key: str, order: list[str], name: str = "frame") -> DataFrame:
@@ -45,6 +46,22 @@ def shuffled(df: DataFrame, ids: list[str], seed: int, epoch: int = 0, limit: in
     return df.orderBy(order_key(seed, F.lit(epoch), *(F.col(i) for i in ids)), *ids)
 
 
+def placed(df: DataFrame, ids: list[str], seed: int, epoch: int = 0, name: str = "place") -> DataFrame:
+    """Rows with their place in the order of shuffled(): ranges of it are sorted in tasks of their own, and a row's place
+    is its place in the range after the rows of the ranges before; one number a range comes to the driver."""
+    ordered = df.withColumn("__order", order_key(seed, F.lit(epoch), *(F.col(i) for i in ids)))
+    ranges = ordered.repartitionByRange("__order", *ids).sortWithinPartitions("__order", *ids).withColumn("__at", F.monotonically_increasing_id()).drop("__order")
+    ranges = stored(ranges, "placed")
+    part = F.shiftright("__at", 33)
+    before, starts = 0, []
+    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    found = ranges.join(F.broadcast(starts), part == F.col("__part"))
+    return found.withColumn(name, F.col("__start") + F.col("__at") - F.shiftleft(part, 33)).drop("__at", "__part", "__start")
+
+
 def shard(df: DataFrame, index: str, count: int, which: int) -> DataFrame:
     return df.filter(F.col(index) % count == which)
 

@@ -526,10 +526,7 @@ def frame_sort_key(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, row_number() OVER (ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR)), event_id) - 1 AS place, (row_number() OVER (ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR)), event_id) - 1) // 64 AS batch FROM events WHERE event_id < 640")
 def shuffle_and_batch(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    rows = datasets.shuffled(t.events.filter("event_id < 640").select("event_id"), ["event_id"], 42)
-    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(C.order_key(42, F.lit(0), F.col("event_id")), "event_id")) - 1)
+    placed = datasets.placed(t.events.filter("event_id < 640").select("event_id"), ["event_id"], 42)
     return datasets.batched(placed, "place", 64)
 
 
@@ -758,11 +755,11 @@ def scan_convert_frames(t: Tables) -> DataFrame:
 
 @query()
 def simulate_transmit(t: Tables) -> DataFrame:
-    """Every embedding's first 16 numbers as four scatterers."""
+    """Every embedding's 64 numbers as 16 scatterers."""
     probe = np.stack([(np.arange(8) - 3.5) * 3e-4, np.zeros(8), np.zeros(8)], axis=1)
     params = {"probe_geometry": probe, "t0_delays": np.zeros(8), "tx_apodizations": np.ones(8), "initial_time": 0.0, "n_ax": 128, "sampling_frequency": 25e6, "center_frequency": 6.25e6}
-    places = F.transform(F.slice("embedding", 1, 16), lambda v, i: F.when(i % 4 == 0, v * 1e-3).when(i % 4 == 1, F.lit(0.0)).when(i % 4 == 2, 2e-3 + F.abs(v) * 1e-3).otherwise(F.lit(1.0)).cast("float"))
-    rows = t.embeddings.select("vec_id", F.array(F.lit(4), F.lit(4)).alias("shape"), places.alias("data"))
+    places = F.transform("embedding", lambda v, i: F.when(i % 4 == 0, v * 1e-3).when(i % 4 == 1, F.lit(0.0)).when(i % 4 == 2, 2e-3 + F.abs(v) * 1e-3).otherwise(F.lit(1.0)).cast("float"))
+    rows = t.embeddings.select("vec_id", F.array(F.lit(16), F.lit(4)).alias("shape"), places.alias("data"))
     made = Pipeline([{"name": "simulate_rf", "params": params}])(rows)
     return made.select("vec_id", "shape", F.size("data").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + F.abs(v)), 6).alias("total"))
 
