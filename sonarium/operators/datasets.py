@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sonarium.functions.columns import order_key
-from sonarium.llm.shared import stored
+from sonarium.storage import stored
 
 
 def number_frames(df: DataFrame, key: str, order: list[str], name: str = "frame") -> DataFrame:
@@ -133,21 +133,35 @@ def in_range(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     return df.withColumn(value, F.coalesce(held, F.when(F.col(value).isNotNull(), F.raise_error(F.concat(F.lit("out of range: "), F.col(value).cast("string"))).cast("double"))))
 
 
+#: Points of a control curve, at most, that go to every task.
+CURVE_POINTS = 10_000
+
+
 def gain_at(samples: DataFrame, curve: DataFrame, place: str = "ax") -> DataFrame:
-    """Samples with gain: 10 ^ (dB / 20) of a control curve (at, code), code / 1023 * 40 dB, between its points.
+    """Samples with gain: 10 ^ (dB / 20) of a control curve (at, code), code / 1023 * 40 dB, between its points; before
+    the first and after the last point theirs. No points: null.
 
-    An as-of join: curve points and samples in one order, each sample between the last and the next point.
+    The curve is small, and its size checked: it becomes intervals that go to every task, and samples stay where they
+    are, each finding its interval among those in order of place.
     """
-    both = samples.withColumns({"__at": F.lit(None).cast("double"), "__db": F.lit(None).cast("double")}).unionByName(
-        curve.select(F.col("at").cast("double").alias("__at"), (F.col("code") / 1023 * 40).alias("__db")), allowMissingColumns=True
-    )
-    order = F.coalesce(F.col("__at"), F.col(place).cast("double"))
-    back = Window.orderBy(order, F.col("__at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.orderBy(order, F.col("__at").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    got = both.withColumns({"l": F.last("__at", True).over(back), "lv": F.last("__db", True).over(back), "r": F.first("__at", True).over(on), "rv": F.first("__db", True).over(on)}).filter("__at is null")
-    share = F.coalesce(F.try_divide(F.col(place) - F.col("l"), F.col("r") - F.col("l")), F.lit(0.0))
-    db = F.coalesce(F.col("lv") + share * (F.col("rv") - F.col("lv")), "lv", "rv")
-    return got.withColumn("gain", F.pow(F.lit(10.0), db / 20)).drop("__at", "__db", "l", "lv", "r", "rv")
+    points = sorted((float(r["at"]), r["code"] / 1023 * 40) for r in curve.limit(CURVE_POINTS + 1).collect())
+    if len(points) > CURVE_POINTS:
+        raise ValueError(f"a control curve of more than {CURVE_POINTS} points")
+    if not points:
+        return samples.withColumn("gain", F.lit(None).cast("double"))
+    at, db = (F.array(*(F.lit(p[k]) for p in points)) for k in (0, 1))
+    x = F.col(place).cast("double")
+    after = F.lit(0)
+    step = 1 << (len(points)).bit_length()
+    while step:  # a binary search, written out
+        after = F.when((after + step <= len(points)) & (F.get(at, after + (step - 1)) <= x), after + step).otherwise(after)
+        step //= 2
+        samples, after = samples.withColumn("__after", after), F.col("__after")
+    i = F.greatest(F.col("__after") - 1, F.lit(0))
+    j = F.least(F.col("__after"), F.lit(len(points) - 1))
+    share = F.coalesce(F.try_divide(x - F.get(at, i), F.get(at, j) - F.get(at, i)), F.lit(0.0))
+    found = F.get(db, i) + share * (F.get(db, j) - F.get(db, i))
+    return samples.withColumn("gain", F.pow(F.lit(10.0), found / 20)).drop("__after")
 
 
 def planewave_focus(delays: DataFrame, keys: list[str]) -> DataFrame:
