@@ -29,6 +29,16 @@ def log_compress(v: Column, low: float = -60.0, high: float = 0.0) -> Column:
     return clip(20 * F.log10(F.when(v == 0, 1e-16).otherwise(v)), low, high)
 
 
+def inpaint(v: Column, mask: Column, fill: float = 0.0) -> Column:
+    """v where the mask holds, else the fill."""
+    return F.when(mask, v).otherwise(fill)
+
+
+def soft_inpaint(v: Column, mask: Column, image_range: tuple, mask_range: tuple = (0.0, 1.0)) -> Column:
+    """v moved from its range to the mask's, times the mask, and back."""
+    return rescale(rescale(v, image_range, mask_range) * mask, mask_range, image_range)
+
+
 def to_8bit(v: Column, low: float = -60.0, high: float = 0.0) -> Column:
     return F.floor(rescale(clip(v, low, high), (low, high), (0, 255))).cast("short")
 
@@ -119,11 +129,13 @@ def distance(*pairs: tuple[Column, Column]) -> Column:
     return F.sqrt(sum(((a - b) * (a - b) for a, b in pairs[1:]), (pairs[0][0] - pairs[0][1]) * (pairs[0][0] - pairs[0][1])))
 
 
-def aperture_weight(dx: Column, dz: Column, f_number: float, kind: str = "rect") -> Column:
-    """Receive weight of an element for a pixel: its angle over the largest that the f-number allows; f 0: no mask."""
+def aperture_weight(dx: Column, dz: Column, f_number: float, kind: str = "rect", dy: Column | None = None) -> Column:
+    """Receive weight of an element for a pixel: the angle between its axis and the way to the pixel, in all three
+    dimensions, over the largest that the f-number allows; f 0: no mask."""
     if f_number == 0:
         return F.lit(1.0)
-    angle = F.abs(F.atan2(dx, dz))
+    dy = F.lit(0.0) if dy is None else dy
+    angle = F.acos(dz / (F.sqrt(dx * dx + dy * dy + dz * dz) + 1e-6))
     return window_weight(angle / math.atan(1 / (2 * f_number)), kind)
 
 

@@ -95,7 +95,7 @@ def time_of_flight(samples: DataFrame, pixels: DataFrame, probe: DataFrame, firi
         sent = own.join(F.broadcast(on), "el").groupBy("pix", "tx").agg(F.min(F.col("t0_delay") + F.col("dist")).alias("tx_time"))
         at = own.join(sent, "pix").join(F.broadcast(timing), "tx").withColumn("s", (F.col("dist") + F.col("tx_time") + F.col("initial_time")) * fs)
     at = at.filter((F.col("s") >= 0) & (F.col("s") < n_ax - 1)).withColumn("ax", F.floor("s").cast("int"))
-    at = at.withColumn("weight", C.aperture_weight(F.col("x") - F.col("ex"), F.col("z") - F.col("ez"), f_number, window)).filter("weight <> 0")
+    at = at.withColumn("weight", C.aperture_weight(F.col("x") - F.col("ex"), F.col("z") - F.col("ez"), f_number, window, F.col("y") - F.col("ey"))).filter("weight <> 0")
     at = at.select("pix", "tx", "el", "ax", (F.col("ax") + 1).alias("ax1"), (F.col("s") - F.col("ax")).alias("share"), "weight", (F.col("s") / fs).alias("time"))
     parts = [c for c in ("value", "im") if c in samples.columns]
     one = samples.select(*keys, "tx", "el", "ax", *(F.col(c).alias(f"{c}0") for c in parts))
@@ -129,10 +129,10 @@ def delay_and_sum(aligned: DataFrame, pixels: DataFrame, keys: tuple[str, ...] =
     """Pixels with the sum of their aligned cells over elements and transmits; zero where there is none."""
     parts = [c for c in ("value", "im") if c in aligned.columns]
     sums = aligned.groupBy(*keys, "pix").agg(*(F.sum(c).alias(c) for c in parts))
-    grid = pixels if groups is None else groups.join(F.broadcast(pixels))  # a frame's pixels, for each frame
+    grid = pixels if groups is None else groups.crossJoin(pixels)  # a frame's pixels, for each frame: the result's own rows
     return grid.join(sums, [*keys, "pix"], "left").na.fill(0.0, parts)
 
 
-def planewave_alias(pixels_per_wavelength: float) -> bool:
-    """Whether a grid is too coarse for its wavelength."""
-    return pixels_per_wavelength < 2
+def aliased(grid_steps: tuple[float, ...], wavelength: float) -> list[int]:
+    """The axes of a grid along which a pixel is larger than half a wavelength."""
+    return [i for i, step in enumerate(grid_steps) if step > wavelength / 2]

@@ -54,10 +54,12 @@ def threshold(df: DataFrame, value: str, kind: str = "hard", below: bool = True,
     if kind not in ("hard", "soft"):
         raise ValueError(f"unknown kind {kind!r}")
     stats = {"__min": F.min(value), "__max": F.max(value)}
-    if percentile is not None:
+    if percentile is not None and by:
         stats["__at"] = F.percentile(value, F.lit(percentile / 100))
+    elif percentile is not None:
+        at = quantile(df, value, percentile / 100)
     df = with_stats(df, list(by), **stats)
-    t = F.col("__at") if percentile is not None else F.lit(float(at))
+    t = F.col("__at") if "__at" in stats else F.lit(at).cast("double")
     filled = {"min": F.col("__min"), "max": F.col("__max"), "threshold": t}.get(fill) if isinstance(fill, str) else F.lit(float(fill))
     v = F.col(value)
     if kind == "hard":
@@ -67,10 +69,13 @@ def threshold(df: DataFrame, value: str, kind: str = "hard", below: bool = True,
     return df.withColumn(value, made).drop(*stats)
 
 
-def reduce_axis(df: DataFrame, axes: list[str], value: str, how: str = "sum") -> DataFrame:
-    """Sum, mean, min, max or root of the sum of squares over the axes that aren't named."""
-    made = {"sum": F.sum(value), "mean": F.avg(value), "min": F.min(value), "max": F.max(value), "l2": F.sqrt(F.sum(F.col(value) * F.col(value)))}[how]
-    return df.groupBy(*axes).agg(made.alias(value))
+def reduce_axis(df: DataFrame, axes: list[str], value: str, how: str | tuple[str, ...] = "sum") -> DataFrame:
+    """Sum, mean, min, max or l2 (the root of the sum of squares) over the axes that aren't named, as value; of several
+    ways a column each, named by them, in one aggregation."""
+    made = {"sum": F.sum(value), "mean": F.avg(value), "min": F.min(value), "max": F.max(value), "l2": F.sqrt(F.sum(F.col(value) * F.col(value)))}
+    if isinstance(how, str):
+        return df.groupBy(*axes).agg(made[how].alias(value))
+    return df.groupBy(*axes).agg(*(made[h].alias(h) for h in how))
 
 
 def delay_and_sum(df: DataFrame, axes: list[str], value: str, *weights: str) -> DataFrame:
@@ -202,16 +207,54 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0, order: int = 0) -> list
 
 
 def filter_axis(df: DataFrame, keys: list[str], axis: str, length: str, kernel: list[float], value: str = "value") -> DataFrame:
-    """Values correlated with a kernel along an axis, mirrored at both ends; length names a column with the axis's."""
+    """Values correlated with a kernel along an axis, mirrored at both ends; length names a column with the axis's.
+
+    One window holds a cell's neighbours, among which its mirrored ones are, too: one sort by the keys, no join.
+    """
     r = len(kernel) // 2
-    taps = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in range(-r, r + 1))).alias("k"), F.array(*(F.lit(w) for w in kernel)).alias("w"))).alias("__t")
-    n = F.col(length)
-    spread = df.select("*", taps)
-    place = F.pmod(F.col(axis) + F.col("__t.k"), 2 * n)
-    source = F.when(place < n, place).otherwise(2 * n - 1 - place).cast(df.schema[axis].dataType)
-    values = df.select(*keys, F.col(axis).alias("__s"), F.col(value).alias("__v"))
-    summed = spread.withColumn("__s", source).drop(value).join(values, [*keys, "__s"])
-    return summed.groupBy(*keys, axis).agg(F.sum(F.col("__t.w") * F.col("__v")).alias(value))
+    near = F.collect_list(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys).orderBy(axis).rowsBetween(-r, r))
+    n, at, first = F.col(length), F.col(axis), F.col(axis) - F.least(F.col(axis), F.lit(r))
+    df = df.withColumn("__near", near)
+
+    def tap(k: int, w: float) -> Column:
+        place = F.pmod(at + k, 2 * n)
+        source = F.when(place < n, place).otherwise(2 * n - 1 - place)
+        return w * F.get("__near", (source - first).cast("int"))["v"]
+
+    total = tap(-r, kernel[0])
+    for k in range(-r + 1, r + 1):
+        total = total + tap(k, kernel[k + r])
+    return df.select(*keys, axis, total.alias(value))
+
+
+def quantile(df: DataFrame, value: str, share: float, ranges: int = 4096, few: int = 50_000) -> float | None:
+    """The exact quantile, between ranks by proportion, of a column; null and NaN left out, of none nothing.
+
+    Ranges of values are counted, then those of the range that holds the rank, until few rows are left: what a task or
+    the driver holds doesn't grow with the rows.
+    """
+    v = F.col(value).cast("double")
+    inner = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    row = inner.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not row["n"]:
+        return None
+    rank, n, low, high, least = share * (row["n"] - 1), row["n"], row["low"], row["high"], 0
+    while n > few and high > low:
+        at = F.least(F.floor((F.col("v") - low) / (high - low) * ranges), F.lit(ranges - 1))
+        ranged = inner.withColumn("r", at)
+        counts = sorted((x["r"], x["n"], x["low"], x["high"]) for x in ranged.groupBy("r").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        for i, (r, n, low, high) in enumerate(counts):
+            if least + n > rank:
+                break
+            least += n
+        if rank - least > n - 1 and i + 1 < len(counts):  # between this range's last and the next one's first
+            return high + (rank - least - (n - 1)) * (counts[i + 1][2] - high)
+        inner = ranged.filter(F.col("r") == r).select("v")
+    if low == high:
+        return low
+    held = sorted(x["v"] for x in inner.collect())
+    k = min(int(rank - least), len(held) - 1)
+    return held[k] + (rank - least - k) * (held[min(k + 1, len(held) - 1)] - held[k])
 
 
 def gradient(df: DataFrame, keys: list[str], axis: str, value: str = "value") -> Column:

@@ -207,19 +207,25 @@ def inverse_scan_convert(x: np.ndarray, extent: tuple[float, float, float, float
     return sample_at(x, (z - extent[2]) / (extent[3] - extent[2]) * (x.shape[0] - 1), (x_ - extent[0]) / (extent[1] - extent[0]) * (x.shape[1] - 1), order, fill)
 
 
-def simulate_rf(scatterers: np.ndarray, magnitudes: np.ndarray, probe: np.ndarray, delays: np.ndarray, apodization: np.ndarray, initial_time: float, n_ax: int, fs: float, fc: float, speed: float = 1540.0, width: float = 0.2e-3, attenuation: float = 0.0, periods: float = 4.0) -> np.ndarray:
-    """Samples (ax, el) of one transmit: spectra of all scatterers and firing elements, summed, back in time.
+def simulate_rf(scatterers: np.ndarray, magnitudes: np.ndarray, probe: np.ndarray, delays: np.ndarray, apodization: np.ndarray, initial_time: float | np.ndarray, n_ax: int, fs: float, fc: float, speed: float = 1540.0, width: float = 0.2e-3, attenuation: float = 0.0, periods: float = 4.0, lens: tuple[float, float] | None = None) -> np.ndarray:
+    """Samples (ax, el) of one transmit, or (tx, ax, el) of several (delays and apodization by transmit): spectra of all
+    scatterers and firing elements, summed, back in time.
 
-    Scatterers are taken one after another, so memory follows elements and frequencies only.
+    The pulse is a sine in a Hann window. lens is (thickness, speed): then ways are the times through it, by Fermat's
+    crossing, times the medium's speed. Scatterers are taken one after another, so memory follows elements and
+    frequencies only.
     """
+    if np.ndim(delays) == 2:
+        times = np.broadcast_to(initial_time, len(delays))
+        return np.stack([simulate_rf(scatterers, magnitudes, probe, d, w, float(t), n_ax, fs, fc, speed, width, attenuation, periods, lens) for d, w, t in zip(delays, apodization, times, strict=True)])
     n = power_of_two(n_ax)
     f = np.arange(n // 2 + 1) / n * fs
-    pulse = hann_spectrum(f - fc, periods / fc)
+    pulse = (hann_spectrum(f - fc, periods / fc) + hann_spectrum(f + fc, periods / fc)) / 2
     on = np.flatnonzero(apodization)
     out = np.zeros((len(probe), len(f)), complex)
     for at, size in zip(scatterers, magnitudes, strict=True):
         gap = at - probe
-        d = np.linalg.norm(gap, axis=1)
+        d = np.linalg.norm(gap, axis=1) if lens is None else lens_time(np.hypot(gap[:, 0], gap[:, 1]), gap[:, 2], lens[0], lens[1], speed, 3) * speed
         side = strip_response(f, np.arctan2(gap[:, 0], gap[:, 2]), width, speed) * strip_response(f, np.arctan2(gap[:, 1], gap[:, 2]), width, speed)
         for e in on:
             path = d + d[e]
@@ -230,6 +236,18 @@ def simulate_rf(scatterers: np.ndarray, magnitudes: np.ndarray, probe: np.ndarra
     return np.fft.irfft(out * pulse, n, axis=1)[:, :n_ax].T
 
 
+def lens_time(across: np.ndarray, depth: np.ndarray, thickness: float, c_lens: float, c_medium: float, steps: int = 2) -> np.ndarray:
+    """Travel times through a lens: the crossing that takes least, by Newton steps of at most 10 mm, held between the
+    element and the point. The NumPy form of columns.with_lens_time."""
+    x, rest, eps = thickness * across / depth, depth - thickness, 1e-6
+    for _ in range(steps):
+        near, far = np.hypot(x, thickness), np.hypot(across - x, rest)
+        slope = x / (c_lens * near) + (x - across) / (c_medium * far) + eps
+        bend = 1 / (c_lens * near) - x * x / (c_lens * near**3 + eps) + 1 / (c_medium * far + eps) - (across - x) ** 2 / (c_medium * far**3 + eps)
+        x = np.clip(x + np.clip(np.nan_to_num(-slope / (bend + eps)), -10e-3, 10e-3), np.minimum(across, 0), np.maximum(across, 0))
+    return np.hypot(x, thickness) / c_lens + np.hypot(across - x, rest) / c_medium
+
+
 def strip_response(f: np.ndarray, theta: np.ndarray, width: float, speed: float) -> np.ndarray:
     """Directivity of strip elements, angles by frequencies."""
     x = np.abs(math.pi * width / speed * f * np.sin(theta)[:, None]) + 1e-9
@@ -244,6 +262,11 @@ def hann_spectrum(f: np.ndarray, width: float) -> np.ndarray:
     return np.where(np.abs(np.abs(x) - 1) < 1e-9, 0.25, made)
 
 
+def hann_window(x: np.ndarray, width: float) -> np.ndarray:
+    """A squared cosine of a whole width, one at its middle."""
+    return np.where(np.abs(x) < width / 2, np.cos(math.pi * x / width) ** 2, 0.0)
+
+
 def pressure_field(points: np.ndarray, probe: np.ndarray, delays: np.ndarray, apodization: np.ndarray, fc: float, speed: float = 1540.0, width: float = 0.2e-3, bandwidth: float = 0.75, n_freq: int = 16) -> np.ndarray:
     """Root mean square over frequencies of one transmit's pressure at points, by sums over its elements."""
     out = np.zeros(len(points))

@@ -123,9 +123,9 @@ def lpips(*_: object) -> Column:
     raise NotImplementedError("needs a network's weights, which are not part of this library")
 
 
-#: Name, function, and whether it compares two images.
+#: Name, function, and whether it compares two regions or images.
 METRICS: dict[str, tuple[Callable, bool]] = {
-    "cnr": (cnr, False), "contrast": (contrast, False), "gcnr": (gcnr, False), "fwhm": (fwhm, False), "speckle_res": (speckle_res, False), "snr": (snr, False),
+    "cnr": (cnr, True), "contrast": (contrast, True), "gcnr": (gcnr, True), "fwhm": (fwhm, False), "speckle_res": (speckle_res, False), "snr": (snr, False),
     "wopt_mae": (wopt_mae, True), "wopt_mse": (wopt_mse, True), "l1loss": (l1loss, True), "l2loss": (l2loss, True), "psnr": (psnr, True), "ncc": (ncc, True),
     "image_entropy": (entropy, False), "image_sharpness": (sharpness, False), "smsle": (smsle, True), "lpips": (lpips, True),
 }

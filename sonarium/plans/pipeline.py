@@ -2,6 +2,10 @@
 
 An operation takes a DataFrame and parameters and returns a DataFrame. Neighbouring whole-frame operations are joined
 into one pass over the Python workers; all others are columns, joins and aggregates for the optimizer.
+
+Data have one of two forms: blocks, a row per frame with its shape and an array of values, or cells, a row per value
+(and im, the imaginary part). Operations that only change values work on both; before any other the form it needs is
+made, if the data aren't in it.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sonarium.functions import columns as C
 from sonarium.operators import beamform, cells, frames
@@ -22,8 +27,8 @@ Run = Callable[..., DataFrame]
 
 @dataclass
 class Kind:
-    """What the registry holds: how to run an operation, what data it takes and makes, whether it works on frames, and
-    whether it only changes its column and leaves the rows as they are."""
+    """What the registry holds: how to run an operation, what data it takes and makes, whether it works on frames,
+    whether it only changes its column and leaves the rows as they are, and the axes of the cells it takes and makes."""
 
     name: str
     run: Callable
@@ -31,6 +36,8 @@ class Kind:
     makes: str | None = None
     framed: bool = False
     columnar: bool = False
+    axes: tuple[str, ...] | None = None
+    out_axes: tuple[str, ...] | None = None
 
     def accepts(self) -> set[str]:
         return {p for p in inspect.signature(self.run).parameters if p not in ("df", "key", "x", "kw")}
@@ -42,13 +49,13 @@ class Kind:
 KINDS: dict[str, Kind] = {}
 
 
-def register(name: str, takes: str | None = None, makes: str | None = None, framed: bool = False, columnar: bool = False) -> Callable:
+def register(name: str, takes: str | None = None, makes: str | None = None, framed: bool = False, columnar: bool = False, axes: tuple[str, ...] | None = None, out_axes: tuple[str, ...] | None = None) -> Callable:
     """Adds a function to the registry under a name, whatever its case; a name is taken once."""
 
     def add(run: Callable) -> Callable:
         if name.lower() in KINDS:
             raise ValueError(f"there is an operation {name!r} already")
-        KINDS[name.lower()] = Kind(name.lower(), run, takes, makes, framed, columnar)
+        KINDS[name.lower()] = Kind(name.lower(), run, takes, makes, framed, columnar, axes, out_axes)
         return run
 
     return add
@@ -151,13 +158,21 @@ class Pipeline:
     def __call__(self, df: DataFrame, **given: object) -> DataFrame:
         given = self.params | given
         waiting: list[frames.Step] = []
+        axes: tuple[str, ...] | None = None  # of the cells that the data are, where an operation has said so
         for op in self.operations:
             if op.kind.framed and not op.branches:
+                if axes and not _is_block(df, op.key):
+                    df, axes = as_blocks(df, op.key, axes), None
                 waiting.append(_step(op, given))
+                if op.name == "demodulate":  # what comes after knows the carrier that is gone
+                    given = {"demodulation_frequency": op.bound(given)["center_frequency"]} | given
                 continue
             if waiting:
                 df, waiting = frames.on_frames(df, waiting), []
+            if op.branches is None and op.kind.axes and _is_block(df, op.key):
+                df = as_cells(df, op.key, op.kind.axes)
             df = op.apply(df, given)
+            axes = op.kind.out_axes or (_made(op.branches) if op.branches else None) or axes
         return frames.on_frames(df, waiting) if waiting else df
 
     def spec(self) -> dict:
@@ -195,6 +210,54 @@ class Pipeline:
         return cls([*first, {"name": "patched_grid", "params": {"num_patches": num_patches}, "operations": inner}, "envelope_detect", "normalize", "log_compress"])
 
 
+def _made(branches: list[Pipeline]) -> tuple[str, ...] | None:
+    """The axes of the cells that a single branch makes."""
+    return next((o.kind.out_axes for o in reversed(branches[0].operations) if o.kind.out_axes), None) if len(branches) == 1 else None
+
+
+def _is_block(df: DataFrame, key: str) -> bool:
+    return "shape" in df.columns and key in df.columns and isinstance(df.schema[key].dataType, ArrayType)
+
+
+def as_cells(df: DataFrame, key: str, axes: tuple[str, ...]) -> DataFrame:
+    """Blocks as cells: the other columns, the axes, key, and im if the frames have two channels (of a first one, as all
+    frames of a table have as many). Frames have the axes and, last, the channels; null ones have no cells."""
+    first = df.filter(F.col("shape").isNotNull()).select("shape").first()
+    channels = 1 if first is None or len(first["shape"]) == len(axes) else first["shape"][-1]
+    if channels > 2:
+        raise ValueError(f"{channels} channels; a cell has a value and an imaginary part")
+    rest = [c for c in df.columns if c not in ("shape", key)]
+    n = F.floor(F.size(key) / channels).cast("int")
+    values = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(*(F.get(key, k * channels + c).alias(name) for c, name in enumerate(("value", "im")[:channels]))))
+    rows = df.filter(F.size(key) > 0).select(*rest, "shape", F.posexplode(values).alias("__at", "__v"))
+    left = F.col("__at")
+    for i in reversed(range(len(axes))):
+        size = F.get("shape", F.lit(i))
+        rows = rows.withColumn(f"__axis{i}", (left % size).cast("int"))
+        left = F.floor(left / size)
+    return rows.select(*rest, *(F.col(f"__axis{i}").alias(a) for i, a in enumerate(axes)), F.col("__v.value").alias(key), *([F.col("__v.im").alias("im")] if channels == 2 else []))
+
+
+def as_blocks(df: DataFrame, key: str, axes: tuple[str, ...]) -> DataFrame:
+    """Cells as blocks: a row for each of the other columns' values, with shape (axes, then channels) and key. Columns
+    that only say where a cell lies (pix, x, y, z) go. A frame's cells have to be whole; they come to one task."""
+    parts = [c for c in (key, "im") if c in df.columns]
+    rest = [c for c in df.columns if c not in (*parts, *axes, "pix", "x", "y", "z")]
+    if not rest:
+        df, rest = df.withColumn("frame", F.lit(0)), ["frame"]
+    cells_of = F.sort_array(F.collect_list(F.struct(*axes, *(F.col(p).cast("double").alias(f"__{i}") for i, p in enumerate(parts)))))
+    values = F.flatten(F.transform(cells_of, lambda c: F.array(*(c[f"__{i}"] for i in range(len(parts))))))
+    shape = F.array(*((F.max(a) + 1).cast("int") for a in axes), F.lit(len(parts)))
+    return df.groupBy(*rest).agg(shape.alias("shape"), values.alias(key))
+
+
+def _each(df: DataFrame, key: str, made: Callable[[Column], Column]) -> DataFrame:
+    """df with a function of every value, be it a cell's or one of a block."""
+    if isinstance(df.schema[key].dataType, ArrayType):
+        return df.withColumn(key, F.transform(key, lambda v: made(v.cast("double"))))
+    return df.withColumn(key, made(F.col(key)))
+
+
 def _step(op: Op, given: dict) -> frames.Step:
     bound = op.bound(given)
     return lambda x: op.kind.run(x, **bound)
@@ -207,8 +270,8 @@ def branched(df: DataFrame, branches: list[Pipeline], given: dict, merge_strateg
     Branches of operations that only change their column are columns side by side. Others are joined by id columns,
     those but the key unless named, which have to tell rows apart.
     """
-    if num_patches:  # a hint for the partitioning; the result is that of the branch
-        df = df.repartition(num_patches)
+    if num_patches and isinstance(given.get("pixels"), DataFrame):  # pixels in so many partitions: the same result
+        given = given | {"pixels": beamform.deal(given["pixels"], num_patches)}
     if len(branches) == 1 and merge_strategy == "nested":
         return branches[0](df, **given)
     if callable(merge_strategy):
@@ -244,18 +307,25 @@ def _identity(df: DataFrame, key: str) -> DataFrame:
 
 @register("clip", columnar=True)
 def _clip(df: DataFrame, key: str, min_value: float = float("-inf"), max_value: float = float("inf")) -> DataFrame:
-    return df.withColumn(key, C.clip(F.col(key), min_value, max_value))
+    return _each(df, key, lambda v: C.clip(v, min_value, max_value))
 
 
 @register("normalize", columnar=True)
 def _normalize(df: DataFrame, key: str, output_range: tuple = (0.0, 1.0), input_range: tuple | None = None, minval: float | None = None, maxval: float | None = None, scope: tuple = ()) -> DataFrame:
     given = input_range or ((minval, maxval) if minval is not None and maxval is not None else None)
+    if isinstance(df.schema[key].dataType, ArrayType):  # of all blocks, or of those alike in the scope
+        if given:
+            df = df.withColumns({"minval": F.lit(float(given[0])), "maxval": F.lit(float(given[1]))})
+        else:
+            df = cells.with_stats(df, list(scope), minval=F.min(F.array_min(key)).cast("double"), maxval=F.max(F.array_max(key)).cast("double"))
+        low, high = F.col("minval"), F.col("maxval")
+        return _each(df, key, lambda v: C.rescale(C.clip(v, low, high), (low, high), tuple(output_range)))
     return cells.normalize(df, key, tuple(output_range), given, tuple(scope))
 
 
 @register("log_compress", makes="image", columnar=True)
 def _log_compress(df: DataFrame, key: str, dynamic_range: tuple = (-60.0, 0.0)) -> DataFrame:
-    return df.withColumn(key, C.log_compress(F.col(key), *dynamic_range))
+    return _each(df, key, lambda v: C.log_compress(v, *dynamic_range))
 
 
 @register("companding", columnar=True)
@@ -263,7 +333,7 @@ def _companding(df: DataFrame, key: str, expand: bool = False, comp_type: str =
     if comp_type not in ("mu", "a"):
         raise ValueError(f"unknown companding {comp_type!r}")
     made = {("mu", False): C.mu_compress, ("mu", True): C.mu_expand, ("a", False): C.a_compress, ("a", True): C.a_expand}[(comp_type, expand)]
-    return df.withColumn(key, made(F.col(key), mu if comp_type == "mu" else A))
+    return _each(df, key, lambda v: made(v, mu if comp_type == "mu" else A))
 
 
 @register("threshold", columnar=True)
@@ -317,7 +387,7 @@ def _merge(df: DataFrame, key: str, other: DataFrame, ids: list[str]) -> DataFra
 
 @register("lambda", columnar=True)
 def _lambda(df: DataFrame, key: str, func: Callable, func_kwargs: dict | None = None) -> DataFrame:
-    """A function of the column, or a pandas UDF."""
+    """A function of the column, or a pandas UDF; of a block's column, its array."""
     return df.withColumn(key, func(F.col(key), **(func_kwargs or {})))
 
 
@@ -327,7 +397,7 @@ def _pipeline(df: DataFrame, key: str) -> DataFrame:
 
 
 @register("patched_grid")
-def _patched_grid(df: DataFrame, key: str) -> DataFrame:
+def _patched_grid(df: DataFrame, key: str, num_patches: int = 100) -> DataFrame:
     raise TypeError("patched_grid needs operations")
 
 
@@ -340,7 +410,7 @@ def _as_value(df: DataFrame, key: str) -> DataFrame:
     return df if key == "value" else df.withColumnRenamed(key, "value")
 
 
-@register("tof_correction", takes="raw_data", makes="aligned_data")
+@register("tof_correction", takes="raw_data", makes="aligned_data", axes=("ax", "el"))
 def _tof(df: DataFrame, key: str, pixels: DataFrame, probe: DataFrame, firing: DataFrame, timing: DataFrame, sound_speed: float, sampling_frequency: float, n_ax: int, f_number: float = 1.0, demodulation_frequency: float = 0.0, ids: tuple = (), lens: tuple | None = None) -> DataFrame:
     made = beamform.time_of_flight(_as_value(df, key), pixels, probe, firing, timing, sound_speed, sampling_frequency, n_ax, f_number, demodulation=demodulation_frequency, keys=tuple(ids), lens=lens)
     return made.withColumnRenamed("value", key)
@@ -351,9 +421,12 @@ def _pfield(df: DataFrame, key: str, flat_pfield: DataFrame | None = None) -> Da
     return beamform.pfield_weighting(_as_value(df, key), flat_pfield).withColumnRenamed("value", key)
 
 
-@register("delay_and_sum", takes="aligned_data", makes="beamformed_data")
+@register("delay_and_sum", takes="aligned_data", makes="beamformed_data", out_axes=("iz", "ix"))
 def _das(df: DataFrame, key: str, pixels: DataFrame, ids: tuple = (), groups: DataFrame | None = None) -> DataFrame:
-    return beamform.delay_and_sum(_as_value(df, key), pixels, tuple(ids), groups).withColumnRenamed("value", key)
+    aligned = _as_value(df, key)
+    if ids and groups is None:  # every frame has all pixels, also where no sample is heard
+        groups = aligned.select(*ids).distinct()
+    return beamform.delay_and_sum(aligned, pixels, tuple(ids), groups).withColumnRenamed("value", key)
 
 
 @register("envelope_detect", makes="envelope_data", framed=True)
@@ -387,12 +460,14 @@ def _diffusion(x, niter: int = 100, lmbda: float = 0.1, rect: tuple | None = Non
 
 
 @register("scan_convert", takes="image", makes="image_sc", framed=True)
-def _scan(x, rho_range: tuple, theta_range: tuple, resolution: float | None = None, order: int = 1, fill_value: float = 0.0):  # noqa: ANN001, ANN202
+def _scan(x, rho_range: tuple, theta_range: tuple, resolution: float | None = None, order: int = 1, fill_value: float = float("nan")):  # noqa: ANN001, ANN202
     return frames.scan_convert(x, tuple(rho_range), tuple(theta_range), resolution, order, fill_value)
 
 
 @register("simulate_rf", makes="raw_data", framed=True)
-def _simulate(x, probe_geometry, t0_delays, tx_apodizations, initial_time: float, n_ax: int, sampling_frequency: float, center_frequency: float, sound_speed: float = 1540.0, element_width: float = 0.2e-3, attenuation_coef: float = 0.0):  # noqa: ANN001, ANN202
-    """x: a frame of scatterers, x, y, z and magnitude a row; the result has samples, elements and one channel."""
-    made = frames.simulate_rf(x[:, :3], x[:, 3], probe_geometry, t0_delays, tx_apodizations, initial_time, n_ax, sampling_frequency, center_frequency, sound_speed, element_width, attenuation_coef)
+def _simulate(x, probe_geometry, t0_delays, tx_apodizations, initial_time: float, n_ax: int, sampling_frequency: float, center_frequency: float, sound_speed: float = 1540.0, element_width: float = 0.2e-3, attenuation_coef: float = 0.0, apply_lens_correction: bool = False, lens_thickness: float = 1e-3, lens_sound_speed: float = 1000.0):  # noqa: ANN001, ANN202
+    """x: a frame of scatterers, x, y, z and magnitude a row; the result has (transmits, if there are several,) samples,
+    elements and one channel."""
+    lens = (lens_thickness, lens_sound_speed) if apply_lens_correction else None
+    made = frames.simulate_rf(x[:, :3], x[:, 3], probe_geometry, t0_delays, tx_apodizations, initial_time, n_ax, sampling_frequency, center_frequency, sound_speed, element_width, attenuation_coef, lens=lens)
     return made[..., None]

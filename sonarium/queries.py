@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from sonarium.functions import columns as C
 from sonarium.operators import agents, beamform, cells, datasets, frames, metrics, mixture
-from sonarium.plans.pipeline import Pipeline
+from sonarium.plans.pipeline import Pipeline, as_blocks
 from sonarium.sources import tensors
+from sonarium.streaming import frames as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,9 +131,10 @@ def translate_range(t: Tables) -> DataFrame:
     return t.events.select("event_id", r(C.rescale(F.col("value"), (0.5, 100.0), (-5.0, 5.0))).alias("v"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'click' THEN value ELSE 0.0 END AS inpainted, round(value * (event_id % 3) / 2.0, 6) AS soft FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN value ELSE 0.0 END AS inpainted, round((least(greatest(value, -1), 499) + 1) * (event_id % 3) / 2.0 - 1, 6) AS soft FROM events")
 def inpainting(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0).alias("inpainted"), r(F.col("value") * (F.col("event_id") % 3) / 2.0).alias("soft"))
+    hard = C.inpaint(F.col("value"), F.col("event_type") == "click")
+    return t.events.select("event_id", hard.alias("inpainted"), r(C.soft_inpaint(C.clip(F.col("value"), -1, 499), (F.col("event_id") % 3) / 2.0, (-1.0, 499.0))).alias("soft"))
 
 
 @query("""
@@ -150,9 +152,8 @@ def sector_reweight(t: Tables) -> DataFrame:
 
 @query(f"SELECT a.vec_id, a.pos // 2 AS sample, round(sqrt(a.value * a.value + b.value * b.value), 6) AS v FROM {PIXELS} a JOIN {PIXELS} b ON a.vec_id = b.vec_id AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0")
 def envelope_iq(t: Tables) -> DataFrame:
-    e = F.col("embedding")
-    pairs = t.embeddings.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get(e, 2 * k).cast("double").alias("i"), F.get(e, 2 * k + 1).cast("double").alias("q")))).alias("sample", "c"))
-    return pairs.select("vec_id", "sample", r(F.sqrt(F.col("c.i") * F.col("c.i") + F.col("c.q") * F.col("c.q"))).alias("v"))
+    made = Pipeline(["envelope_detect"])(_frames(t, [32, 2]))
+    return made.select("vec_id", F.posexplode("data").alias("sample", "v")).withColumn("v", r("v"))
 
 
 @query("""
@@ -177,9 +178,8 @@ def aperture_windows(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, round(sum(l_quantity), 6) AS total, round(avg(l_quantity), 6) AS mean, round(sqrt(sum(l_quantity * l_quantity)), 6) AS l2 FROM lineitem GROUP BY 1")
 def reduce_axis(t: Tables) -> DataFrame:
-    made = {how: cells.reduce_axis(t.lineitem, ["l_orderkey"], "l_quantity", how) for how in ("sum", "mean", "l2")}
-    out = made["sum"].select("l_orderkey", r("l_quantity").alias("total"))
-    return out.join(made["mean"].select("l_orderkey", r("l_quantity").alias("mean")), "l_orderkey").join(made["l2"].select("l_orderkey", r("l_quantity").alias("l2")), "l_orderkey")
+    made = cells.reduce_axis(t.lineitem, ["l_orderkey"], "l_quantity", ("sum", "mean", "l2"))
+    return made.select("l_orderkey", r("sum").alias("total"), r("mean").alias("mean"), r("l2").alias("l2"))
 
 
 @query("SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS v FROM lineitem GROUP BY 1")
@@ -189,11 +189,11 @@ def das_weighted_sum(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH c AS (SELECT * FROM {PIXELS} WHERE pos < 4)
+    WITH c AS (SELECT * FROM {PIXELS})
     SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.value, b.value), 6) AS cov, a.label FROM c a JOIN c b USING (vec_id) GROUP BY ALL
 """)
 def cov_matrix(t: Tables) -> DataFrame:
-    rows = cells.from_arrays(t.embeddings, "embedding", ["label", "vec_id"]).filter("pos < 4").withColumn("value", F.col("value").cast("double"))
+    rows = cells.from_arrays(t.embeddings, "embedding", ["label", "vec_id"]).withColumn("value", F.col("value").cast("double"))
     return cells.covariance(rows, ["label"], "vec_id", "pos").select("label", "i", "j", r("cov").alias("cov"))
 
 
@@ -330,10 +330,10 @@ def unwrap_phase(t: Tables) -> DataFrame:
     return cells.unwrap(rows, ["user_id"], "frame").select("user_id", "frame", r("value").alias("value"))
 
 
-@query("SELECT file_id, tx, ax, el, ch, round(CASE WHEN a % 2 = 1 THEN -v ELSE v END, 6) AS value FROM (SELECT vec_id AS file_id, p // 16 AS tx, p % 16 AS a, (p % 16) // 2 AS ax, 0 AS el, p % 2 AS ch, CAST(embedding[p + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 48)) AS p))")
+@query("SELECT file_id, tx, ax, el, ch, round(CASE WHEN a % 2 = 1 THEN -v ELSE v END, 6) AS value FROM (SELECT vec_id AS file_id, p // 16 AS tx, p % 16 AS a, (p % 16) // 2 AS ax, 0 AS el, p % 2 AS ch, CAST(embedding[p + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS p))")
 def receive_buffer(t: Tables) -> DataFrame:
     buffer = t.signals().select(F.col("vec_id").alias("file_id"), F.lit(0).alias("el"), F.col("pos").alias("k"), "value")
-    made = tensors.verasonics_raw(buffer, 16, 3, iq=True)
+    made = tensors.verasonics_raw(buffer, 16, 4, iq=True)
     return made.select("file_id", "tx", "ax", "el", "ch", r("value").alias("value"))
 
 
@@ -446,7 +446,7 @@ def _scheme(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 @query(f"""
     WITH g AS (SELECT pix, x, z, el, ex, sqrt((x - ex) ** 2 + z * z) AS d FROM {_PIX}, {_EL}),
     tx AS (SELECT pix, tx, CASE WHEN any_value(sign(foc) * (z - cos(ang) * foc)) <= 0 THEN min(t0 * 1.5 + d) ELSE max(t0 * 1.5 + d) END AS td FROM g JOIN {_FIRE} USING (el) WHERE apo <> 0 GROUP BY 1, 2),
-    s AS (SELECT g.pix, g.el, tx.tx, d / 1.5 * 8 + (td / 1.5 - 0.1) * 8 AS s, CASE WHEN abs(atan2(x - ex, z)) / atan(0.5) <= 1 THEN 1 ELSE 0 END AS w FROM g JOIN tx USING (pix)),
+    s AS (SELECT g.pix, g.el, tx.tx, d / 1.5 * 8 + (td / 1.5 - 0.1) * 8 AS s, CASE WHEN acos(z / (d + 1e-6)) / atan(0.5) <= 1 THEN 1 ELSE 0 END AS w FROM g JOIN tx USING (pix)),
     v AS (SELECT label, pix, w * ((1 - (s - floor(s))) * a.value + (s - floor(s)) * b.value) AS v FROM s
         JOIN {PIXELS} a ON a.vec_id % 16 = s.el + 8 * s.tx AND a.pos = CAST(floor(s) AS INTEGER) JOIN {PIXELS} b USING (vec_id, label) WHERE b.pos = a.pos + 1 AND s >= 0 AND s < 63)
     SELECT label, pix, round(sum(v), 5) AS value FROM v GROUP BY 1, 2 HAVING count(*) > 0
@@ -524,9 +524,9 @@ def frame_sort_key(t: Tables) -> DataFrame:
     return t.pages.select("page_id", datasets.path_number(F.col("url")).alias("number"))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR)), event_id) - 1 AS place, (row_number() OVER (ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR)), event_id) - 1) // 64 AS batch FROM events WHERE event_id < 640")
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR)), event_id) - 1 AS place, (row_number() OVER (ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR)), event_id) - 1) // 64 AS batch FROM events")
 def shuffle_and_batch(t: Tables) -> DataFrame:
-    placed = datasets.placed(t.events.filter("event_id < 640").select("event_id"), ["event_id"], 42)
+    placed = datasets.placed(t.events.select("event_id"), ["event_id"], 42)
     return datasets.batched(placed, "place", 64)
 
 
@@ -716,41 +716,117 @@ def diffusion_step(t: Tables) -> DataFrame:
     return t.events.select("event_id", r(image, 5).alias("image"), r(state, 5).alias("state"))
 
 
-# Whole-frame numerics: NumPy on Arrow batches, tested against NumPy
+# Whole-frame numerics: NumPy on Arrow batches
 
 
 def _frames(t: Tables, shape: list[int]) -> DataFrame:
-    return t.embeddings.select("vec_id", F.array(*(F.lit(n) for n in shape)).alias("shape"), F.col("embedding").alias("data"))
+    return t.embeddings.select("vec_id", F.array(*(F.lit(n) for n in shape)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
 
 
-def _framed(df: DataFrame) -> DataFrame:
-    return df.select("vec_id", "shape", F.transform("data", lambda v: F.round(v, 4)).alias("data"))
+def _framed(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("vec_id", F.posexplode("data").alias("pos", "value")).withColumn("value", r("value", digits) + 0.0)
 
 
-@query()
+_ANALYTIC = f"""
+    h AS (SELECT a.vec_id, a.pos, any_value(a.value) AS re, sum(CASE WHEN (a.pos - b.pos) % 2 <> 0 THEN b.value * cos(pi() * (a.pos - b.pos) / 64) / sin(pi() * (a.pos - b.pos) / 64) / 32 ELSE 0 END) AS im
+        FROM {PIXELS} a JOIN {PIXELS} b USING (vec_id) GROUP BY 1, 2)
+"""
+
+
+@query(f"WITH {_ANALYTIC} SELECT vec_id, pos, round(sqrt(re * re + im * im), 6) + 0.0 AS value FROM h")
 def hilbert_envelope(t: Tables) -> DataFrame:
     made = Pipeline([{"name": "demodulate", "params": {"sampling_frequency": 8.0, "center_frequency": 2.0}}, "envelope_detect"])
     return _framed(made(_frames(t, [64, 1])))
 
 
-@query()
+@query(f"WITH {_ANALYTIC} SELECT vec_id, pos * 2 + c AS pos, round(CASE WHEN c = 0 THEN re * cos(0.7 * pos) + im * sin(0.7 * pos) ELSE im * cos(0.7 * pos) - re * sin(0.7 * pos) END, 6) + 0.0 AS value FROM h, (SELECT unnest([0, 1]) AS c)")
+def demodulate_baseband(t: Tables) -> DataFrame:
+    made = Pipeline([{"name": "demodulate", "params": {"sampling_frequency": 2 * np.pi, "center_frequency": 0.7}}])
+    return _framed(made(_frames(t, [64, 1])))
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id, pos // 2 AS i, max(value) FILTER (pos % 2 = 0) AS re, max(value) FILTER (pos % 2 = 1) AS im FROM {PIXELS} GROUP BY 1, 2),
+    g AS (SELECT k, k * 31 / 63.0 AS p, CAST(floor(k * 31 / 63.0) AS INTEGER) AS i FROM (SELECT unnest(range(0, 64)) AS k)),
+    m AS (SELECT a.vec_id, k, (1 - p + g.i) * a.re + (p - g.i) * b.re AS re, (1 - p + g.i) * a.im + (p - g.i) * b.im AS im FROM g JOIN c a ON a.i = g.i JOIN c b ON b.vec_id = a.vec_id AND b.i = least(g.i + 1, 31))
+    SELECT vec_id, k AS pos, round((re * cos(2 * pi() * 2 / 16 * k) - im * sin(2 * pi() * 2 / 16 * k)) * sqrt(2), 6) + 0.0 AS value FROM m
+""")
 def upmix_baseband(t: Tables) -> DataFrame:
     return _framed(Pipeline([{"name": "upmix", "params": {"sampling_frequency": 8.0, "center_frequency": 2.0, "upsampling_rate": 2}}])(_frames(t, [32, 2])))
 
 
-@query()
+_BLUR = cells.gaussian_kernel(0.8)
+
+
+def _blurred(table: str, value: str, name: str) -> str:
+    """A CTE with a column of an 8 by 8 table blurred, mirrored at its edges."""
+    turned = lambda axis, d: f"CASE WHEN {axis} + {d} < 0 THEN -1 - {axis} - {d} WHEN {axis} + {d} > 7 THEN 15 - {axis} - {d} ELSE {axis} + {d} END"
+    return f"""{name}_m AS (SELECT t.vec_id, t.z, t.x, kz.w * kx.w AS w, {turned('t.z', 'kz.d')} AS sz, {turned('t.x', 'kx.d')} AS sx FROM {table} t, k kz, k kx),
+    {name} AS (SELECT m.vec_id, m.z, m.x, sum(w * {value}) AS v FROM {name}_m m JOIN {table} s ON s.vec_id = m.vec_id AND s.z = m.sz AND s.x = m.sx GROUP BY 1, 2, 3)"""
+
+
+@query(f"""
+    WITH k AS (SELECT unnest(range(-{len(_BLUR) // 2}, {len(_BLUR) // 2 + 1})) AS d, unnest([{', '.join(map(repr, _BLUR))}]::DOUBLE[]) AS w),
+    p AS (SELECT vec_id, z, x, value AS v FROM {PIXELS}),
+    {_blurred('p', 's.v', 'b')}, {_blurred('b', 's.v', 'mean')}, {_blurred('b', 's.v * s.v', 'power')},
+    j AS (SELECT b.vec_id, b.z, b.x, b.v, mean.v AS m, power.v - mean.v * mean.v AS local, var_pop(b.v) OVER (PARTITION BY b.vec_id) AS whole FROM b JOIN mean USING (vec_id, z, x) JOIN power USING (vec_id, z, x))
+    SELECT vec_id, z * 8 + x AS pos, round(m + local / (local + whole + 1e-30) * (v - m), 6) + 0.0 AS value FROM j
+""")
 def blur_and_lee(t: Tables) -> DataFrame:
     return _framed(Pipeline([{"name": "gaussian_blur", "params": {"sigma": 0.8}}, {"name": "lee_filter", "params": {"sigma": 0.8}}])(_frames(t, [8, 8])))
 
 
-@query()
+def _diffused(steps: int) -> str:
+    ctes = [f"u0 AS (SELECT vec_id, z, x, exp(value) AS u FROM {PIXELS})"]
+    near = lambda f, c, w: f"coalesce({f}({c}) OVER {w}, 0)"
+    for k in range(steps):
+        windows = "WINDOW a AS (PARTITION BY vec_id, x ORDER BY z), b AS (PARTITION BY vec_id, z ORDER BY x)"
+        ctes.append(f"g{k} AS (SELECT vec_id, z, x, u, {near('lead', 'u', 'a')} - u AS dn, {near('lag', 'u', 'a')} - u AS up, {near('lead', 'u', 'b')} - u AS rt, {near('lag', 'u', 'b')} - u AS lt FROM u{k} {windows})")
+        ctes.append(f"c{k} AS (SELECT *, 1 / (1 + (1 + (dn + up + rt + lt) / (u + 1e-6) / 4) ** 2) AS c FROM g{k})")
+        ctes.append(f"u{k + 1} AS (SELECT vec_id, z, x, u + 0.1 / 4 * (c * (dn + rt) + {near('lag', 'c', 'a')} * up + {near('lag', 'c', 'b')} * lt) AS u FROM c{k} {windows})")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, z * 8 + x AS pos, round(ln(u), 6) + 0.0 AS value FROM u{steps}"
+
+
+@query(_diffused(10))
 def speckle_diffusion(t: Tables) -> DataFrame:
     return _framed(Pipeline([{"name": "anisotropic_diffusion", "params": {"niter": 10}}])(_frames(t, [8, 8])))
 
 
-@query()
+@query(ORACLE_SQL["scan_convert_bilinear"])
 def scan_convert_frames(t: Tables) -> DataFrame:
-    return _framed(Pipeline([{"name": "scan_convert", "params": {"rho_range": _RHO, "theta_range": _THETA}}])(_frames(t, [8, 8])))
+    made = Pipeline([{"name": "scan_convert", "params": {"rho_range": _RHO, "theta_range": _THETA, "fill_value": 0.0}}])(_frames(t, [8, 8]))
+    width = F.get("shape", F.lit(1))
+    rows = made.select("vec_id", width.alias("w"), F.posexplode("data").alias("pos", "value"))
+    return rows.select("vec_id", (F.col("pos") % F.col("w")).cast("int").alias("ix"), F.floor(F.col("pos") / F.col("w")).cast("int").alias("iz"), (r("value", 5) + 0.0).alias("value"))
+
+
+# The default pipeline: 16 embeddings in a row are two transmits' samples of eight elements.
+
+
+_DEFAULT = f"""
+    WITH {_ANALYTIC},
+    d AS (SELECT vec_id // 16 AS file, vec_id % 8 AS el, vec_id % 16 // 8 AS tx, pos, re * cos(1.5 * pos) + im * sin(1.5 * pos) AS re, im * cos(1.5 * pos) - re * sin(1.5 * pos) AS im FROM h),
+    g AS (SELECT pix, x, z, el, ex, sqrt((x - ex) ** 2 + z * z) AS d FROM {_PIX}, {_EL}),
+    tx AS (SELECT pix, tx, CASE WHEN any_value(sign(foc) * (z - cos(ang) * foc)) <= 0 THEN min(t0 * 1.5 + d) ELSE max(t0 * 1.5 + d) END AS td FROM g JOIN {_FIRE} USING (el) WHERE apo <> 0 GROUP BY 1, 2),
+    s AS (SELECT g.pix, g.el, tx.tx, d / 1.5 * 8 + (td / 1.5 - 0.1) * 8 AS s, CASE WHEN acos(z / (d + 1e-6)) / atan(0.5) <= 1 THEN 1 ELSE 0 END AS w FROM g JOIN tx USING (pix)),
+    v AS (SELECT a.file, pix, s / 8 * 12 AS turn, w * ((1 - (s - floor(s))) * a.re + (s - floor(s)) * b.re) AS re, w * ((1 - (s - floor(s))) * a.im + (s - floor(s)) * b.im) AS im FROM s
+        JOIN d a ON a.el = s.el AND a.tx = s.tx AND a.pos = CAST(floor(s) AS INTEGER) JOIN d b ON b.file = a.file AND b.el = a.el AND b.tx = a.tx AND b.pos = a.pos + 1 WHERE s >= 0 AND s < 63),
+    y AS (SELECT file, pix, sum(re * cos(turn) - im * sin(turn)) AS re, sum(re * sin(turn) + im * cos(turn)) AS im FROM v GROUP BY 1, 2),
+    e AS (SELECT f.file, p.pix, coalesce(sqrt(re * re + im * im), 0) AS e FROM (SELECT DISTINCT vec_id // 16 AS file FROM embeddings) f CROSS JOIN (SELECT pix FROM {_PIX}) p LEFT JOIN y ON y.file = f.file AND y.pix = p.pix),
+    n AS (SELECT file, pix, (e - min(e) OVER ()) / (max(e) OVER () - min(e) OVER ()) AS n FROM e)
+    SELECT file, pix, round(greatest(-60, least(0, 20 * log10(CASE WHEN n = 0 THEN 1e-16 ELSE n END))), 4) + 0.0 AS image FROM n
+"""
+
+
+@query(_DEFAULT)
+def default_pipeline(t: Tables) -> DataFrame:
+    """From raw samples to a compressed image: blocks, cells for the delays, and blocks again."""
+    probe, pixels, firing, timing = _scheme(t)
+    rows = t.signals().select(F.floor(F.col("vec_id") / 16).alias("file"), F.floor(F.col("vec_id") % 16 / 8).cast("int").alias("tx"), (F.col("vec_id") % 8).cast("int").alias("el"), F.col("pos").alias("ax"), F.col("value").alias("data"))
+    raw = as_blocks(rows, "data", ("ax", "el"))
+    params = {"pixels": pixels, "probe": probe, "firing": firing, "timing": timing, "sound_speed": 1.5, "sampling_frequency": 8.0, "center_frequency": 1.5 * 8 / (2 * np.pi), "n_ax": 64, "ids": ("file",)}
+    made = Pipeline.default(num_patches=4)(raw, **params)
+    return made.select("file", F.posexplode("data").alias("pix", "image")).withColumn("image", r("image", 4) + 0.0)
 
 
 @query()
@@ -769,7 +845,7 @@ def simulate_transmit(t: Tables) -> DataFrame:
 """)
 def event_windows(t: Tables) -> DataFrame:
     """The batch form of the streaming windows."""
-    made = t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
-    return made.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    made = streams.windowed(t.events, "ts", "value", ["event_type"])
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = "file_id string, event_id int, frame int, key string, shape array<int>, data array<float>"
-#: Rank of a frame of each kind of data, and the number of channels it may have.
+# Rank of a frame of each kind of data, and the number of channels it may have.
 KINDS = {"raw_data": (4, (1, 2)), "aligned_data": (4, (1, 2)), "beamformed_data": (3, (1, 2)), "envelope_data": (2, None), "image": (2, None), "image_sc": (2, None)}
 # Scan entries that raw or aligned data need.
 REQUIRED = ["n_ax", "n_el", "n_tx", "probe_geometry", "sampling_frequency", "center_frequency", "t0_delays", "n_frames"]
@@ -24,8 +24,12 @@ REQUIRED = ["n_ax", "n_el", "n_tx", "probe_geometry", "sampling_frequency", "cen
 
 def from_numpy(spark: SparkSession, file_id: str, key: str, array: np.ndarray, event: int | None = None) -> DataFrame:
     """A block table of an array whose first axis counts frames."""
-    rows = [(file_id, event, i, key, list(frame.shape), frame.astype(np.float32).ravel().tolist()) for i, frame in enumerate(array)]
-    return spark.createDataFrame(rows, BLOCK)
+    n, shape = len(array), list(array.shape[1:])
+    flat = pa.array(np.ascontiguousarray(array, np.float32).ravel())
+    size = len(flat) // n if n else 0
+    data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), flat)
+    columns = {"file_id": pa.array([file_id] * n, pa.string()), "event_id": pa.array([event] * n, pa.int32()), "frame": pa.array(range(n), pa.int32()), "key": pa.array([key] * n, pa.string()), "shape": pa.array([shape] * n, pa.list_(pa.int32())), "data": data}
+    return spark.createDataFrame(pa.table(columns), BLOCK)
 
 
 def write(df: DataFrame, path: str) -> None:
