@@ -127,14 +127,14 @@ def convolved(x: np.ndarray, taps: np.ndarray, axis: int = 0) -> np.ndarray:
     return np.apply_along_axis(lambda v: np.convolve(v, taps, "same"), axis, x)
 
 
-def gaussian(x: np.ndarray, sigma: float, axis: int, order: int = 0, truncate: float = 4.0, mode: str = "symmetric") -> np.ndarray:
+def gaussian(x: np.ndarray, sigma: float, axis: int, order: int = 0, truncate: float = 4.0, mode: str = "symmetric", cval: float = 0.0) -> np.ndarray:
     """Correlation with a Gaussian (order 0) or its first derivative along an axis."""
     from sonarium.operators.cells import gaussian_kernel
 
     kernel = np.array(gaussian_kernel(sigma, truncate, order))
     r = len(kernel) // 2
     widths = [(r, r) if i == axis % x.ndim else (0, 0) for i in range(x.ndim)]
-    wide = np.pad(x, widths, mode=mode)
+    wide = np.pad(x, widths, mode=mode, **({"constant_values": cval} if mode == "constant" else {}))
     return sum(w * np.take(wide, range(k, k + x.shape[axis]), axis) for k, w in enumerate(kernel))
 
 
@@ -200,6 +200,49 @@ def scan_convert(x: np.ndarray, rho: tuple[float, float], theta: tuple[float, fl
     return sample_at(x, (size - rho[0]) / (rho[1] - rho[0]) * (x.shape[0] - 1), (angle - theta[0]) / (theta[1] - theta[0]) * (x.shape[1] - 1), order, fill)
 
 
+def sample_linear(x: np.ndarray, places: np.ndarray, fill: float = 0.0, order: int = 1) -> np.ndarray:
+    """Values of an array of any rank at places between its cells (rank first), linear or nearest; outside the fill."""
+    if order not in (0, 1):
+        raise NotImplementedError("splines of higher order are not supported")
+    wide = np.pad(x, 1, constant_values=fill)
+    held = [np.clip(p + 1, 0, n - 1.0) for p, n in zip(places, wide.shape, strict=True)]
+    if order == 0:
+        return wide[tuple(np.rint(p).astype(int) for p in held)]
+    low = [np.minimum(p.astype(int), n - 2) for p, n in zip(held, wide.shape, strict=True)]
+    out = np.zeros(held[0].shape)
+    for corner in range(1 << x.ndim):
+        up = [corner >> i & 1 for i in range(x.ndim)]
+        weight = np.prod([p - k if u else 1 - (p - k) for p, k, u in zip(held, low, up, strict=True)], axis=0)
+        out += weight * wide[tuple(k + u for k, u in zip(low, up, strict=True))]
+    return out
+
+
+def scan_convert_volume(x: np.ndarray, rho: tuple[float, float], theta: tuple[float, float], phi: tuple[float, float], resolution: float | None = None, order: int = 1, fill: float = 0.0) -> np.ndarray:
+    """A volume in frustum coordinates (rho, theta, phi) on a cartesian grid (z, x, y)."""
+    r, t, p = (np.linspace(*lims, n) for lims, n in zip((rho, theta, phi), x.shape, strict=True))
+    tan_t, tan_p = np.tan(t)[None, :, None], np.tan(p)[None, None, :]
+    depth = r[:, None, None] / np.sqrt(1 + tan_t**2 + tan_p**2)
+    zs, xs, ys = depth, depth * tan_t, depth * tan_p
+    middle = 0.25 * (r[0] + r[-1])
+    step = resolution or (middle * (t[1] - t[0]) + middle * (p[1] - p[0]) + r[1] - r[0]) / 3
+    z, x_, y = np.meshgrid(*(np.arange(v.min(), v.max(), step) for v in (zs, xs, ys)), indexing="ij")
+    size, a, b = np.sqrt(z * z + x_ * x_ + y * y), np.arctan2(x_, z), np.arctan2(y, z)
+    size = np.where((a < theta[0]) | (a > theta[1]) | (b < phi[0]) | (b > phi[1]), -1.0, size)
+    places = [(v - lims[0]) / (lims[1] - lims[0]) * (n - 1) for v, lims, n in zip((size, a, b), (rho, theta, phi), x.shape, strict=True)]
+    return sample_linear(x, np.stack(places), fill, order)
+
+
+def gaussian_filter(x: np.ndarray, sigma: float | tuple[float, ...], order: int | tuple[int, ...] = 0, truncate: float = 4.0, mode: str = "symmetric", cval: float = 0.0, axes: tuple[int, ...] | None = None) -> np.ndarray:
+    """Correlation with Gaussians or their derivatives along several axes, one after another; mode as in NumPy's pad, of
+    which constant takes cval."""
+    axes = tuple(range(x.ndim)) if axes is None else axes
+    for k, axis in enumerate(axes):
+        s, o = (v[k] if isinstance(v, (tuple, list)) else v for v in (sigma, order))
+        if s > 0:
+            x = gaussian(x, s, axis, o, truncate, mode, cval)
+    return x
+
+
 def inverse_scan_convert(x: np.ndarray, extent: tuple[float, float, float, float], rho: tuple[float, float], theta: tuple[float, float], shape: tuple[int, int], order: int = 1, fill: float = 0.0) -> np.ndarray:
     """A cartesian image (z, x), over extent (x0, x1, z0, z1), on a polar grid (rho, theta)."""
     r, t = np.meshgrid(np.linspace(*rho, shape[0]), np.linspace(*theta, shape[1]), indexing="ij")

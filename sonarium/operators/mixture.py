@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.functions.columns import order_key
+from sonarium.functions.columns import order_key, uniform
 
 
 @dataclass
@@ -104,3 +104,28 @@ def diffusion_step(x: Column, noise: Column, now: tuple[Column, Column], after:
     """The image that a noise estimate implies, and the state at the next pair of rates."""
     image = (x - now[0] * noise) / now[1]
     return image, after[1] * image + after[0] * noise
+
+
+def posterior_sample(df: DataFrame, dims: list[str], mix: Mixture, id_column: str, n: int = 1, seed: int = 0) -> DataFrame:
+    """id, draw, k: components drawn by their responsibilities, following from seed, id and draw."""
+    r = responsibilities([F.col(d) for d in dims], mix)
+    upto, total = [], F.lit(0.0)
+    for part in r[:-1]:
+        total = total + part
+        upto.append(total)
+    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__u", uniform(str(seed), F.col(id_column), F.col("draw")))
+    k = sum((F.when(F.col("__u") >= u, 1).otherwise(0) for u in upto), F.lit(0))
+    return drawn.select(id_column, "draw", k.alias("k"))
+
+
+def noisy(x: Column, noise: Column, rates: tuple[Column, Column]) -> Column:
+    """An image at a pair of noise and signal rates."""
+    return rates[1] * x + rates[0] * noise
+
+
+def guided_step(x: Column, noise: Column, now: tuple[Column, Column], after: tuple[Column, Column], measured: Column, mask: Column, strength: float = 1.0) -> tuple[Column, Column]:
+    """diffusion_step with the image drawn towards what was measured: less strength times the slope of half the squared
+    difference where the mask is one."""
+    image, state = diffusion_step(x, noise, now, after)
+    pull = strength * mask * (image - measured)
+    return image - pull, state - after[1] * pull

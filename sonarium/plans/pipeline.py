@@ -460,7 +460,9 @@ def _diffusion(x, niter: int = 100, lmbda: float = 0.1, rect: tuple | None = Non
 
 
 @register("scan_convert", takes="image", makes="image_sc", framed=True)
-def _scan(x, rho_range: tuple, theta_range: tuple, resolution: float | None = None, order: int = 1, fill_value: float = float("nan")):  # noqa: ANN001, ANN202
+def _scan(x, rho_range: tuple, theta_range: tuple, phi_range: tuple | None = None, resolution: float | None = None, order: int = 1, fill_value: float = float("nan")):  # noqa: ANN001, ANN202
+    if phi_range is not None:
+        return frames.scan_convert_volume(x, tuple(rho_range), tuple(theta_range), tuple(phi_range), resolution, order, fill_value)
     return frames.scan_convert(x, tuple(rho_range), tuple(theta_range), resolution, order, fill_value)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarium.functions import columns as C
-from sonarium.operators import agents, beamform, cells, datasets, frames, metrics, mixture
+from sonarium.operators import agents, beamform, cells, datasets, loader, metrics, mixture
 from sonarium.plans.pipeline import Pipeline, as_blocks
 from sonarium.sources import tensors
 from sonarium.streaming import frames as streams
@@ -849,3 +849,190 @@ def event_windows(t: Tables) -> DataFrame:
     return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
 
 
+# Loading: sizes, stacks, masks, crops
+
+
+def _resized_sql(old: int, new: int) -> str:
+    table = loader._taps(old, new)
+    return "(SELECT " + ", ".join(f"unnest([{', '.join(str(row[i]) for row in table)}]::{kind}[]) AS {name}" for i, (name, kind) in enumerate((("i", "INTEGER"), ("s", "INTEGER"), ("w", "DOUBLE")))) + ")"
+
+
+@query(f"SELECT vec_id, a.i AS z, b.i AS x, round(sum(a.w * b.w * value), 6) AS value FROM {PIXELS} JOIN {_resized_sql(8, 5)} a ON a.s = z JOIN {_resized_sql(8, 13)} b ON b.s = x GROUP BY 1, 2, 3")
+def resize_bilinear(t: Tables) -> DataFrame:
+    return loader.resize(t.pixels(), ["vec_id"], (8, 8), (5, 13)).select("vec_id", "z", "x", r("value").alias("value"))
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id, floor(CAST('0x' || substr(md5('9:crop-z:' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * 5) AS cz, floor(CAST('0x' || substr(md5('9:crop-x:' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * 3) AS cx FROM embeddings)
+    SELECT vec_id, CAST(z - cz AS INTEGER) AS z, CAST(x - cx AS INTEGER) AS x, value FROM {PIXELS} JOIN c USING (vec_id) WHERE z BETWEEN cz AND cz + 3 AND x BETWEEN cx AND cx + 5
+""")
+def random_crop(t: Tables) -> DataFrame:
+    return loader.resized(t.pixels(), "random_crop", "vec_id", (8, 8), (4, 6), 9).select("vec_id", "z", "x", "value")
+
+
+@query(f"SELECT vec_id, z, x, coalesce(value, 0) AS value FROM (SELECT vec_id, unnest(range(0, 11)) AS z FROM embeddings) CROSS JOIN (SELECT unnest(range(0, 6)) AS x) LEFT JOIN (SELECT vec_id, z + 1 AS z, x - 1 AS x, value FROM {PIXELS}) USING (vec_id, z, x)")
+def crop_or_pad(t: Tables) -> DataFrame:
+    return loader.resized(t.pixels(), "crop_or_pad", "vec_id", (8, 8), (11, 6)).select("vec_id", "z", "x", "value")
+
+
+@query(f"SELECT vec_id, z, x, coalesce(value, -1) AS value FROM (SELECT vec_id, unnest(range(0, 9)) AS z FROM embeddings) CROSS JOIN (SELECT unnest(range(0, 8)) AS x) LEFT JOIN {PIXELS} USING (vec_id, z, x)")
+def pad_to_multiple(t: Tables) -> DataFrame:
+    return loader.pad_to_multiple(t.pixels(), t.embeddings.select("vec_id"), "z", 8, 3, {"x": 8}, fill=-1.0).select("vec_id", "z", "x", "value")
+
+
+@query(f"SELECT vec_id, z, x, coalesce(value, 0) AS value FROM (SELECT vec_id, unnest(range(0, 5)) AS z FROM embeddings) CROSS JOIN (SELECT unnest(range(0, 10)) AS x) LEFT JOIN {PIXELS} USING (vec_id, z, x)")
+def cut_or_fill(t: Tables) -> DataFrame:
+    return loader.cut_or_fill(t.pixels(), t.embeddings.select("vec_id"), {"z": (8, 5), "x": (8, 10)}).select("vec_id", "z", "x", "value")
+
+
+@query(f"SELECT b.user_id, b.block, b.slot, e.event_id, e.value FROM ({_BLOCKS.format(step=6)}) b JOIN {EVENTS} e USING (user_id, frame)")
+def stacked_frames(t: Tables) -> DataFrame:
+    windows = datasets.block_windows(_files(t), 3, 2)
+    return loader.stacked_frames(t.sequence(), windows, "user_id").select("user_id", "block", "slot", "event_id", "value")
+
+
+@query(f"""
+    WITH p AS (SELECT *, row_number() OVER (ORDER BY md5('4:1:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS place FROM embeddings),
+    o AS (SELECT vec_id, repeat, repeat * (count(*) OVER () // 2) + place // 2 AS place FROM (SELECT *, unnest([0, 1]) AS repeat FROM p WHERE place % 2 = 1))
+    SELECT vec_id, z - 2 AS z, x - 2 AS x, repeat, place, place // 16 AS batch, round((greatest(-1, least(1, value)) + 1) * 255 / 2, 6) AS value FROM {PIXELS} JOIN o USING (vec_id) WHERE z BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5
+""")
+def loader_batches(t: Tables) -> DataFrame:
+    made = loader.batches(t.pixels(), "vec_id", (8, 8), seed=4, epoch=1, shards=2, shard=1, clip=(-1, 1), given=(-1.0, 1.0), size=(4, 4), repeat=2, batch=16, output=(0.0, 255.0))
+    return made.select("vec_id", "z", "x", "repeat", "place", "batch", r("value").alias("value"))
+
+
+@query(f"SELECT vec_id, z, x, CASE WHEN x // 2 IN (vec_id % 4, (vec_id + 1) % 4) THEN value ELSE 0 END AS value FROM {PIXELS}")
+def masked_action(t: Tables) -> DataFrame:
+    lines = t.embeddings.select("vec_id", F.explode(F.array((F.col("vec_id") % 4).cast("int"), ((F.col("vec_id") + 1) % 4).cast("int"))).alias("line"))
+    on = agents.line_mask(lines, 8, 8, 4).select("vec_id", "z", "x", F.col("value").alias("hot"))
+    whole = t.pixels().select("vec_id", "z", "x").join(on, ["vec_id", "z", "x"], "left").na.fill(0, ["hot"])
+    return loader.masked(t.pixels(), whole, ["vec_id", "z", "x"]).select("vec_id", "z", "x", "value")
+
+
+_SPARSE = f"(SELECT vec_id, z, x, CASE WHEN (z + vec_id) % 3 = 0 OR x % 4 = 1 THEN 0 ELSE value END AS value FROM {PIXELS})"
+
+
+@query(f"""
+    WITH s AS {_SPARSE}, a AS (SELECT vec_id, z, row_number() OVER (PARTITION BY vec_id ORDER BY z) - 1 AS nz FROM s WHERE value <> 0 GROUP BY 1, 2),
+    k AS (SELECT s.vec_id, nz AS z, x, value FROM s JOIN a USING (vec_id, z)), b AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x) - 1 AS nx FROM k WHERE value <> 0 GROUP BY 1, 2)
+    SELECT vec_id, z, nx AS x, value FROM k JOIN b USING (vec_id, x)
+""")
+def without_constant_lines(t: Tables) -> DataFrame:
+    zero = ((F.col("z") + F.col("vec_id")) % 3 == 0) | (F.col("x") % 4 == 1)
+    return loader.without_constant_lines(t.pixels().withColumn("value", F.when(zero, 0.0).otherwise(F.col("value"))), ["vec_id"]).select("vec_id", "z", "x", "value")
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id, vec_id % 3 AS l, 6 + vec_id % 3 AS r, vec_id % 4 - 2 AS t, 7 AS b, 2.5 + vec_id % 5 AS apex FROM embeddings),
+    o AS (SELECT *, greatest(0, CAST(trunc((r - l) / 2 - (apex - l)) AS INTEGER)) AS pl, greatest(0, CAST(trunc(-((r - l) / 2 - (apex - l))) AS INTEGER)) AS pr FROM c),
+    g AS (SELECT *, unnest(range(0, b - t)) AS z FROM o), h AS (SELECT *, unnest(range(0, r - l + pl + pr)) AS x FROM g)
+    SELECT h.vec_id, h.z, h.x, coalesce(p.value, 0) AS value FROM h LEFT JOIN {PIXELS} p ON p.vec_id = h.vec_id AND p.z = h.z + t AND p.x = h.x - pl + l AND p.x < r AND p.x >= l
+""")
+def cropped_cone(t: Tables) -> DataFrame:
+    i = F.col("vec_id")
+    cones = t.embeddings.select("vec_id", (i % 3).alias("crop_left"), (6 + i % 3).alias("crop_right"), (i % 4 - 2).alias("crop_top"), F.lit(7).alias("crop_bottom"), (2.5 + i % 5).alias("apex_x"))
+    return loader.cropped_cone(t.pixels(), cones, "vec_id").select("vec_id", "z", "x", "value")
+
+
+@query(f"SELECT vec_id, list_position([62, 3, 0, 7, 12], pos) - 1 AS pos, value FROM {PIXELS} WHERE pos IN (62, 3, 0, 7, 12)")
+def picked_places(t: Tables) -> DataFrame:
+    return loader.picked(t.signals(), [-2, 3, 0, 7, 12, 99, -70], "pos", 64).select("vec_id", "pos", "value")
+
+
+@query("SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS \"group\", row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)/', 1) ORDER BY TRY_CAST(regexp_extract(string_split(url, '/')[-1], '([0-9]+)', 1) AS BIGINT) NULLS LAST, url) - 1 AS place FROM pages")
+def grouped_paths(t: Tables) -> DataFrame:
+    return loader.grouped_paths(t.pages.select("page_id", "url"), "url", "//([^/]+)/").select("page_id", "group", "place")
+
+
+@query("SELECT c_custkey, c_mktsegment AS v FROM customer")
+def text_of_codes(t: Tables) -> DataFrame:
+    codes = F.transform(F.filter(F.split("c_mktsegment", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return t.customer.select("c_custkey", loader.text_of(codes).alias("v"))
+
+
+@query("SELECT s_suppkey, round(s_nationkey * 2.2e-4 / 1540 * 1e6, 6) AS delay, round(2 * s_nationkey * 2.2e-4 / 1540 * 1e6, 6) AS start, round((62.5 / (CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 4 END)) * 1e6, 3) AS rate FROM supplier")
+def scan_times(t: Tables) -> DataFrame:
+    n, skip = F.col("s_nationkey"), F.when(F.col("s_nationkey") % 2 == 1, 4.0)
+    return t.supplier.select("s_suppkey", r(loader.wavelength_times(n, 2.2e-4, 1540) * 1e6).alias("delay"), r(loader.initial_time(n, 2.2e-4, 1540) * 1e6).alias("start"), r(loader.sampling_rate(F.lit(62.5), skip), 3).alias("rate"))
+
+
+# More columns and beamforming
+
+
+@query("SELECT l_orderkey AS pix, l_linenumber AS tx, round(l_extendedprice * max(l_discount) OVER (PARTITION BY l_orderkey, l_linenumber), 6) AS value FROM lineitem")
+def pfield_applied(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_orderkey").alias("pix"), F.col("l_linenumber").alias("tx"), F.col("l_extendedprice").alias("value"), F.col("l_discount").alias("weight"))
+    weights = rows.groupBy("pix", "tx").agg(F.max("weight").alias("weight"))
+    return beamform.pfield_weighting(rows.drop("weight"), weights).select("pix", "tx", r("value").alias("value"))
+
+
+@query("SELECT event_id, round(exp(-value / 100) + 1, 6) AS v FROM events")
+def lambda_operation(t: Tables) -> DataFrame:
+    made = Pipeline([{"name": "lambda", "params": {"func": lambda c, plus: F.exp(-c / 100) + plus, "func_kwargs": {"plus": 1}}}])
+    return made(t.events.select("event_id", F.col("value").alias("data"))).select("event_id", r("data").alias("v"))
+
+
+@query("""
+    SELECT s_suppkey, round(CASE WHEN th = 0 THEN 1 ELSE sin(x) / x END * cos(th), 6) AS soft, round(exp(-ln(10) * 0.5 / 20 * d * 100 * f * 1e-6), 6) AS left, round(1e-4 / greatest(d, 1e-4), 9) AS spread
+    FROM (SELECT *, abs(pi() * 2e-4 / 1540 * f * sin(th)) + 1e-9 AS x FROM (SELECT s_suppkey, 1e6 * (1 + s_suppkey % 9) AS f, (s_nationkey - 12) / 20.0 AS th, s_nationkey * 1e-3 AS d FROM supplier))
+""")
+def element_response(t: Tables) -> DataFrame:
+    f, angle, path = 1e6 * (1 + F.col("s_suppkey") % 9), (F.col("s_nationkey") - 12) / 20.0, F.col("s_nationkey") * 1e-3
+    return t.supplier.select("s_suppkey", r(C.directivity(f, angle, 2e-4, 1540.0, rigid=False)).alias("soft"), r(C.attenuation(f, 0.5, path)).alias("left"), r(C.spreading(path), 9).alias("spread"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 8 = n_regionkey THEN [n_regionkey, -1, -1] ELSE [least(n_nationkey % 8, n_regionkey), greatest(n_nationkey % 8, n_regionkey), -1] END AS places FROM nation")
+def k_hot_back(t: Tables) -> DataFrame:
+    return t.nation.select("n_nationkey", C.hot_indices(C.k_hot(F.array(F.col("n_nationkey") % 8, F.col("n_regionkey")), 8), 3).alias("places"))
+
+
+@query(f"""
+    WITH m AS (SELECT vec_id, pos, value - avg(value) OVER (PARTITION BY vec_id) AS d FROM {PIXELS}), u AS (SELECT vec_id, pos, coalesce(d / nullif(sqrt(sum(d * d) OVER (PARTITION BY vec_id)), 0), 0) AS u FROM m)
+    SELECT vec_id, pos + 64 * s AS pos, round(greatest(CASE WHEN s = 0 THEN u ELSE -u END, 0), 6) + 0.0 AS value FROM u, (SELECT unnest([0, 1]) AS s)
+""")
+def rectified_pairs(t: Tables) -> DataFrame:
+    made = t.embeddings.select("vec_id", F.posexplode(C.rectified_pair(F.col("embedding").cast("array<double>"))).alias("pos", "value"))
+    return made.select("vec_id", "pos", (r("value") + 0.0).alias("value"))
+
+
+@query("""
+    SELECT event_id, k + 4 * half AS pos, round(CASE WHEN half = 0 THEN sin(w * value / 1000) ELSE cos(w * value / 1000) END, 5) + 0.0 AS value
+    FROM events, (SELECT unnest([0, 1]) AS half), (SELECT unnest(range(0, 4)) AS k, unnest([2 * pi(), 2 * pi() * exp(ln(1000.0) / 3), 2 * pi() * exp(ln(1000.0) * 2 / 3), 2 * pi() * exp(ln(1000.0))]) AS w)
+""")
+def sinusoidal(t: Tables) -> DataFrame:
+    made = t.events.select("event_id", F.posexplode(C.sinusoidal_embedding(F.col("value") / 1000, 8)).alias("pos", "value"))
+    return made.select("event_id", "pos", (r("value", 5) + 0.0).alias("value"))
+
+
+@query(f"SELECT vec_id, z * 8 + x AS p, value, (z * 8 + x) // 16 AS a, (z * 8 + x) % 16 AS b FROM {PIXELS}")
+def folded_axes(t: Tables) -> DataFrame:
+    folded = cells.fold_axis(t.pixels(), "z", "x", 8, "p")
+    return cells.unfold_axis(folded.withColumn("q", F.col("p")), "q", 16, "a", "b").select("vec_id", "p", "value", "a", "b")
+
+
+@query(f"SELECT p.pix, label, round(coalesce(sum(v.value), 0), 6) AS value FROM {_PIX} p CROSS JOIN (SELECT DISTINCT label FROM embeddings) l LEFT JOIN (SELECT label, pos AS pix, value FROM {PIXELS} WHERE pos % 3 <> 0) v USING (pix, label) GROUP BY 1, 2")
+def das_all_pixels(t: Tables) -> DataFrame:
+    aligned = cells.from_arrays(t.embeddings, "embedding", ["label"]).select("label", F.col("pos").alias("pix"), F.col("value").cast("double").alias("value")).filter("pix % 3 <> 0")
+    pixels = beamform.pixel_grid(t.spark, (-1.0, 1.0), (2.0, 5.0), 5, 4)
+    return beamform.delay_and_sum(aligned, pixels, ("label",), t.embeddings.select("label").distinct()).select("pix", "label", r("value").alias("value"))
+
+
+@query("SELECT p AS pix, round((1 + p // 5) * sin(-0.5 + (p % 5) * 0.25), 6) + 0.0 AS x, round((1 + p // 5) * cos(-0.5 + (p % 5) * 0.25), 6) AS z FROM (SELECT unnest(range(0, 20)) AS p)")
+def polar_pixels(t: Tables) -> DataFrame:
+    return beamform.radial_grid(t.spark, (1.0, 4.0), (-0.5, 0.5), 4, 5).select("pix", (r("x") + 0.0).alias("x"), r("z").alias("z"))
+
+
+@query(f"SELECT vec_id, draw, CASE WHEN CAST('0x' || substr(md5('6:' || CAST(vec_id AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 >= {_part(0)} / ({_part(0)} + {_part(1)}) THEN 1 ELSE 0 END AS k FROM {_AB}, (SELECT unnest(range(0, 3)) AS draw)")
+def gmm_posterior(t: Tables) -> DataFrame:
+    return mixture.posterior_sample(_points(t), ["a", "b"], _MIX, "vec_id", 3, 6)
+
+
+@query("""
+    WITH a AS (SELECT event_id, value, acos(0.95) + (event_id % 20) / 20.0 * (acos(0.02) - acos(0.95)) AS g FROM events),
+    i AS (SELECT event_id, (value - sin(g) * 0.5) / cos(g) AS i FROM a), p AS (SELECT event_id, i, 0.3 * (event_id % 2) * (i - 7) AS p FROM i)
+    SELECT event_id, round(i - p, 5) AS image, round(0.9 * (i - p) + 0.05, 5) AS state FROM p
+""")
+def guided_diffusion(t: Tables) -> DataFrame:
+    now = mixture.cosine_schedule((F.col("event_id") % 20) / 20.0)
+    image, state = mixture.guided_step(F.col("value"), F.lit(0.5), now, (F.lit(0.1), F.lit(0.9)), F.lit(7.0), F.col("event_id") % 2, 0.3)
+    return t.events.select("event_id", r(image, 5).alias("image"), r(state, 5).alias("state"))
