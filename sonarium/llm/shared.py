@@ -1,46 +1,20 @@
-"""What the operators share: the folder that driver and executors have in common, and small helpers."""
+"""What the operators share: stored tables, shuffle files that go early, words, and slices of batches."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sonarium.storage import shared_dir, stored  # noqa: F401  to the operators
+
 #: Words are runs of characters other than these.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share; it goes when the session ends.
-
-    Where the session names no such folder (local runs, tests), a temporary one is set once.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sonarium-")
-        sc.setCheckpointDir(base)
-    if ":/" not in base:
-        base = f"file://{base}"
-    path = f"{base.rstrip('/')}/sonarium-{uuid.uuid4().hex}-{tag}"
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and no lost executor takes it along."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it goes by the JVM's
     collections, which on an idle driver may be an hour apart."""

@@ -1,14 +1,12 @@
 """SimHash near-duplicates: fingerprints, links between close ones, and the groups they form.
 
-A fingerprint has one or more 64-bit words. Pairs of fingerprints are looked for only within buckets that agree on a
-block of bits. In a bucket each fingerprint has a row of distances to fixed reference fingerprints (pivots); a pair
+Pairs of fingerprints are looked for only within buckets that agree on a block of bits. In a bucket each fingerprint has a row of distances to fixed reference fingerprints (pivots); a pair
 whose rows differ by more than the radius in any place cannot be within it and is discarded, the others are compared.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,18 +24,12 @@ PIVOTS = 16
 BUCKET = 2048
 #: Rows that are compared at once, at least; the last bucket waits for its end.
 AT_ONCE = 1 << 15
-#: Words of a fingerprint that are carried into the buckets and compared there: the block's own and the next two.
-COMPARED = 3
-#: Fewer words than this leave too few bits to estimate a similarity by.
-LEAST_WORDS = 12
-#: Words whose blocks are dealt out at once; their shuffle files go before the next words' are written.
-WORDS_AT_ONCE = 12
 #: The side of rows that are compared with all others of their bucket.
 BOTH = 2
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _spread(n: int, seed: int) -> np.ndarray:
+def spread(n: int, seed: int) -> np.ndarray:
     """n fixed odd 64-bit numbers (splitmix64)."""
     out, mask = [], (1 << 64) - 1
     for i in range(n):
@@ -92,46 +84,30 @@ def majority(rows: np.ndarray) -> np.ndarray:
     return more | same
 
 
-def fingerprint(text: str | None, n: int = 3, factors: np.ndarray | None = None, distinct: bool = False) -> np.ndarray:
-    """The words of a text's fingerprint: one from XXH64 itself, or one for each factor that the hashes are mixed with."""
+def fingerprint(text: str | None, n: int = 3) -> np.ndarray:
+    """The fingerprint of a text's n-word shingles, repeats included: one word; zero without shingles."""
     cut = shingles(text, n)
-    if distinct:
-        cut = list(dict.fromkeys(cut))
     if not cut:
-        return np.zeros(1 if factors is None else len(factors), np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))
-    if factors is None:
-        return majority(hashes[None, :])
-    step = max(1, (1 << 19) // len(hashes))
-    out = []
-    for i in range(0, len(factors), step):
-        mixed = hashes[None, :] * factors[i : i + step, None]
-        mixed ^= mixed >> np.uint64(32)
-        out.append(majority(mixed))
-    return np.concatenate(out)
-
-
-def fingerprints(df: DataFrame, text: str, keep: list[Column | str], n: int = 3, words: int = 0, distinct: bool = False) -> DataFrame:
-    """The kept columns and fingerprint, an array of longs, per row. words=0: one word, unmixed.
-
-    A null text is empty; without words in it every bit is zero.
-    """
+        return np.zeros(1, np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))[None, :])
+
+
+def fingerprints(df: DataFrame, text: str, keep: list[Column | str], n: int = 3) -> DataFrame:
+    """The kept columns and fingerprint, an array of one long, per row. A null text is empty."""
     given = df.select(*keep, F.col(text).alias("__text"))
     schema = given.drop("__text").select("*", F.array().cast("array<long>").alias("fingerprint")).schema
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _spread(words, SEED) if words else None
         for batch in pieces(batches):
-            made = [fingerprint(t, n, factors, distinct) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            flat = np.concatenate(made).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * (len(flat) // len(made))), pa.array(flat))
+            flat = np.concatenate([fingerprint(t, n) for t in batch.column(batch.num_columns - 1).to_pylist()]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names)
 
     return given.mapInArrow(run, schema)
 
 
-def _mix(keys: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+def mixed(keys: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     x = (keys ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -155,7 +131,7 @@ def _rows(columns: list[np.ndarray], names: list[str] = NAMES) -> pa.RecordBatch
 
 def _block_keys(values: np.ndarray, blocks: list[int], t: int) -> Iterator[tuple[int, np.ndarray]]:
     for j, mask in enumerate(blocks):
-        yield mask, _mix(values & np.uint64(mask), (t << 8 | j) * 0x5851F42D4C957F2D & (1 << 64) - 1)
+        yield mask, mixed(values & np.uint64(mask), (t << 8 | j) * 0x5851F42D4C957F2D & (1 << 64) - 1)
 
 
 def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
@@ -173,26 +149,6 @@ def _first_blocks(vertices: DataFrame, blocks: list[int]) -> DataFrame:
     return vertices.mapInArrow(run, ROWS)
 
 
-def _word_blocks(vertices: DataFrame, blocks: list[int], words: int, some: range) -> DataFrame:
-    """A row per vertex, one of some words of its fingerprint, and block: the key, the vertex, and the words to compare."""
-    more = vertices.columns[2:]
-    names = ["key", "vertex", *(f"c{i}" for i in range(words)), *more]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vertex = batch.column(0).to_numpy().view(np.uint64)
-            values = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(len(vertex), -1)
-            count = values.shape[1]
-            for t in some:
-                compared = [values[:, (t + i) % count] if i < count else np.zeros(len(vertex), np.uint64) for i in range(words)]
-                for _, key in _block_keys(values[:, t], blocks, t):
-                    yield _rows([key, vertex, *compared, *(c.to_numpy() for c in batch.columns[2:])], names)
-
-    return vertices.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
 def _split(rows: DataFrame, level: int, parts: int) -> DataFrame:
     """Each row as often as there are parts, keyed by one more part of the bits not agreed on yet."""
 
@@ -202,35 +158,25 @@ def _split(rows: DataFrame, level: int, parts: int) -> DataFrame:
             for mask in np.unique(columns[1]):
                 key, _, vertex, word = (c[columns[1] == mask] for c in columns)
                 for j, part in enumerate(_parts(int(~mask & FULL), parts) or [0]):
-                    yield _rows([_mix(key ^ _mix(word & np.uint64(part), j + 1), level + 7), np.full(len(key), mask | np.uint64(part), np.uint64), vertex, word])
+                    yield _rows([mixed(key ^ mixed(word & np.uint64(part), j + 1), level + 7), np.full(len(key), mask | np.uint64(part), np.uint64), vertex, word])
 
     return rows.mapInArrow(run, ROWS)
 
 
-def _tiles(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows with side, and those of hot keys (key, tiles) as often as their key has tiles: each pair of a hot bucket's
-    row ranges is a bucket of its own, in which pairs of unlike sides are compared, or all where a range meets itself.
-    """
-    own, other = F.pmod(F.xxhash64(F.lit(11), "vertex"), F.col("tiles")), F.col("__other")
-    known = rows.join(hot, "key", "left").withColumn("__own", own)
-    known = known.withColumn("__other", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))))
-    own = F.col("__own")
-    key = F.when(other < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
-    side = F.when((other < 0) | (own == other), BOTH).otherwise((own > other).cast("int"))
-    return known.select(key.alias("key"), side.cast("long").alias("side"), *rows.columns[1:])
-
-
 def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radius: int, pivots: np.ndarray, side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span, within each run of equal keys, the graph of the pairs at most radius bits apart.
 
     Pairs are taken by their distance in the run: all neighbours first, then all next but one, and so on. Pairs that
-    links already connect are passed over, and so are, where sides are given, pairs of one side but BOTH. Where groups
-    are given, every pair of unlike groups is a link.
+    links already connect are passed over, and so are pairs of one group, where groups are given, and where sides are,
+    pairs of one side but BOTH.
     """
     n = len(key)
     run = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-    table = np.stack([np.bitwise_count(compared ^ p[: compared.shape[1]]).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+    table = np.stack([np.bitwise_count(compared ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
     root = np.arange(n)
+    if group is not None:
+        _, first, of = np.unique(np.stack((run, group)), axis=1, return_index=True, return_inverse=True)
+        root = first[of.ravel()]
     links: list[tuple[int, int]] = []
 
     def top(i: int) -> int:
@@ -246,7 +192,7 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
         left = left[run[left] == run[left + s]]
         if not len(left):
             return links
-        if s % 16 == 0 and group is None:  # runs that hang together are done
+        if s % 16 == 0:  # runs that hang together are done
             while not np.array_equal(flat := root[root], root):
                 root[:] = flat
             ends = np.unique(run[left])
@@ -256,14 +202,9 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
         at = left[root[left] != root[left + s]]
         if side is not None:
             at = at[(side[at] == BOTH) | (side[at] != side[at + s])]
-        if group is not None:
-            at = at[group[at] != group[at + s]]
         for column in table.T:
             at = at[np.abs(column[at] - column[at + s]) <= radius]
         at = at[np.bitwise_count(compared[at] ^ compared[at + s]).sum(axis=1) <= radius]
-        if group is not None:
-            links += zip(vertex[at].tolist(), vertex[at + s].tolist(), strict=True)
-            continue
         for i in at.tolist():
             a, b = top(i), top(i + s)
             if a != b:
@@ -271,13 +212,14 @@ def link_bucket(key: np.ndarray, vertex: np.ndarray, compared: np.ndarray, radiu
                 links.append((int(vertex[i]), int(vertex[i + s])))
 
 
-def _linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
-    """Links a, b within the buckets of rows: dealt by key, sorted by it, and compared run by run."""
+def linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
+    """Links a, b that span what hangs together within the buckets of rows (key, vertex, words c0..; side and group if
+    given): dealt by key, sorted by it, and compared run by run."""
     extra = [c for c in ("side", "group") if c in rows.columns]
     columns = ["key", "vertex", *(f"c{i}" for i in range(words)), *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = _spread(PIVOTS * COMPARED, 7).reshape(PIVOTS, COMPARED)
+        pivots = spread(PIVOTS * words, 7).reshape(PIVOTS, words)
         held: list[np.ndarray] | None = None
 
         def links(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -297,116 +239,38 @@ def _linked(rows: DataFrame, radius: int, words: int) -> DataFrame:
     return rows.select(*columns).repartition("key").sortWithinPartitions("key", "vertex").mapInArrow(run, "a long, b long")
 
 
-def link(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int = 1, bucket: int = BUCKET) -> DataFrame:
-    """Links a, b between vertices (vertex long, fingerprint array<long>, all of one length) that share a block of a
-    word and differ in at most radius bits of that word and the next words-1 ones.
+def link(vertices: DataFrame, blocks: list[int], radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Links a, b between vertices (vertex long, fingerprint array<long> of one word) that differ in at most radius bits.
 
-    Within a bucket only as many links are given as connect it. Buckets of more than `bucket` rows are found by
-    counting (the keys of one vertex in `sample`). With one word, and blocks that cover all its bits and are one more
-    than the radius, they are split by blocks of the bits that their rows don't yet agree on, as often as needed: every
-    pair within the radius is connected, whatever the buckets' sizes. With more words no such blocks keep all pairs, so
-    a large bucket is compared whole, in tiles of row ranges against row ranges; and where vertices have a third column,
-    group long, all pairs of unlike groups are given.
+    Blocks have to cover all bits and be one more than the radius. Within a bucket only as many links are given as
+    connect it. Buckets of more than `bucket` rows are split by blocks of the bits that their rows don't yet agree on,
+    as often as needed: every pair within the radius is connected, whatever the buckets' sizes.
     """
-    if words > 1:
-        return _linked_words(vertices, blocks, radius, words, sample, bucket)
     level, links = 0, None
     rows = _first_blocks(vertices, blocks)
     while True:
-        few = rows if sample == 1 else rows.filter(F.pmod(F.xxhash64("vertex"), F.lit(sample)) == 0)
-        hot = stored(few.groupBy("key").count().filter(F.col("count") > bucket // sample).select("key"), "hot")
+        hot = stored(rows.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "hot")
         n = hot.count()
         if not n:
-            more = _linked(rows, radius, words)
+            more = linked(rows, radius, 1)
             return more if links is None else links.unionByName(more)
         side = F.broadcast(hot) if n <= 100_000 else hot
-        more = _linked(rows.join(side, "key", "left_anti").select(*NAMES), radius, words)
+        more = linked(rows.join(side, "key", "left_anti").select(*NAMES), radius, 1)
         links = more if links is None else links.unionByName(more)
         rows = stored(rows.join(side, "key", "left_semi").select(*NAMES), "split")
         rows = stored(_split(rows, level, radius + 1), "blocks")
         level += 1
 
 
-def _linked_words(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int, bucket: int) -> DataFrame:
-    """link() with more words than one: buckets of more than `bucket` rows are compared whole, in tiles."""
-    few = vertices if sample == 1 else vertices.filter(F.pmod(F.xxhash64("vertex"), F.lit(sample)) == 0)
-    longest = vertices.agg(F.max(F.size("fingerprint"))).first()[0] or 0
-    links = vertices.sparkSession.createDataFrame([], "a long, b long")
-    for at in range(0, longest, WORDS_AT_ONCE):
-        some = range(at, min(at + WORDS_AT_ONCE, longest))
-        counts = _word_blocks(few, blocks, words, some).groupBy("key").count().filter(F.col("count") > bucket // sample)
-        hot = stored(counts.select("key", F.ceil(F.col("count") * sample / bucket).alias("tiles")), "hot")
-        rows, n = _word_blocks(vertices, blocks, words, some), hot.count()
-        if n:
-            rows = _tiles(rows, F.broadcast(hot) if n <= 100_000 else hot)
-        links = links.unionByName(stored(_linked(rows, radius, words), "links"))
-        release(vertices.sparkSession)
-    return links
-
-
-def _words_needed(differ: float, bits: int, each: int, radius: int, recall: float) -> int:
-    """Words after which so many of 20,000 drawn pairs, whose bits differ that often, have shared a block of a word and
-    been within the radius there. Drawn, as neighbouring words are compared with the same bits and so aren't independent.
-    """
-    draws, drawn, words = np.random.default_rng(SEED), [], 0
-    found = np.zeros(20_000, bool)
-    while found.mean() < recall:
-        blocks = draws.binomial(bits, differ, (len(found), each))
-        drawn.append((blocks.sum(axis=1) + draws.binomial(64 - bits * each, differ, len(found)), (blocks == 0).any(axis=1)))
-        if len(drawn) == COMPARED:
-            found |= drawn[0][1] & (sum(d for d, _ in drawn) <= radius)
-            drawn, words = drawn[1:], words + 1
-    return words
-
-
-def plan(rows: int, similarity: float, recall: float = 0.995) -> tuple[int, list[int], int]:
-    """Words of a fingerprint, blocks of a word, and radius, for sets of shingles that are so similar (Jaccard).
-
-    Bits agree as often as 1 - angle / pi. Blocks get two bits fewer than it takes to number the rows, so that buckets
-    stay small, and there are as many of them as make a pair at the limit share one and pass with the given
-    probability; the more rows, the more words.
-    """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(32, max(8, math.ceil(math.log2(max(rows, 2))) - 2))
-    radius = round(differ * 64 * COMPARED)
-    each = 64 // bits
-    blocks = [((1 << bits) - 1) << (bits * k) for k in range(each)]
-    return max(LEAST_WORDS, _words_needed(differ, bits, each, radius, recall)), blocks, radius
-
-
-def _true_links(vertices: DataFrame, blocks: list[int], radius: int, words: int, sample: int, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links that the check of pairs a, b lets through, and that connect all that such links between candidates do.
-
-    link() leaves out pairs that other candidates connect. Where one of those fails, what it held together may have
-    fallen apart, though pairs left out would hold it: there all candidates between the parts are checked.
-    """
-    pairs = lambda links: links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = stored(pairs(link(vertices, blocks, radius, words, sample)), "found")
-    release(vertices.sparkSession)  # the blocks' shuffle files are the largest there are
-    true = stored(check(found), "true")
-    if found.count() == true.count():
-        return true
-    held = components(true).withColumnRenamed("root", "group")
-    apart = components(found).join(held, "vertex", "left").withColumn("group", F.coalesce("group", "vertex"))
-    fallen = apart.groupBy("root").agg(F.min("group").alias("one"), F.max("group").alias("other")).filter("one <> other").select("root")
-    apart = stored(vertices.join(apart.join(fallen, "root", "left_semi").select("vertex", "group"), "vertex"), "apart")
-    more = stored(pairs(link(apart, blocks, radius, words)).join(found, ["a", "b"], "left_anti"), "more")
-    return true.unionByName(check(more))
-
-
-def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int, words: int, sample: int = 1, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int) -> DataFrame:
     """rows (id, fingerprint) with root, the same for all that links connect, and group, the least id of those.
 
-    Equal fingerprints count as one vertex, made before anything is compared; a check of pairs of vertices a, b says
-    which links count. Null ids rank after all others; a group of nothing but null ids has a null group. Every row
-    stays, also repeated ones.
+    Equal fingerprints count as one vertex, made before anything is compared. Null ids rank after all others; a group
+    of nothing but null ids has a null group. Every row stays, also repeated ones.
     """
-    vertex = F.get("fingerprint", F.lit(0)) if words == 1 else F.xxhash64("fingerprint")
-    keyed = rows.withColumn("vertex", vertex)
+    keyed = rows.withColumn("vertex", F.get("fingerprint", F.lit(0)))
     vertices = stored(keyed.groupBy("vertex").agg(F.first("fingerprint").alias("fingerprint"), F.min(id_column).alias("first")), "vertices")
-    made = vertices.select("vertex", "fingerprint")
-    links = link(made, blocks, radius, words, sample) if check is None else _true_links(made, blocks, radius, words, sample, check)
-    rooted = components(links)
+    rooted = components(link(vertices.select("vertex", "fingerprint"), blocks, radius))
     release(rows.sparkSession)  # the blocks' shuffle files are the largest there are
     known = vertices.select("vertex", "first").join(rooted, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     known = stored(known, "rooted")
@@ -415,59 +279,7 @@ def near_groups(rows: DataFrame, id_column: str, blocks: list[int], radius: int,
     return keyed.join(groups, "vertex").drop("vertex")
 
 
-def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """vertex and set, the hashes of the distinct n-word shingles, of rows of vertex and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))) for cut in (shingles(t, n) for t in batch.column(1).to_pylist())]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["vertex", "set"])
-
-    return texts.mapInArrow(run, "vertex long, set array<long>")
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b of vertices whose sets' Jaccard similarity is at least so much."""
-    of = lambda end: sets.select(F.col("vertex").alias(end), F.col("set").alias(f"__{end}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    both = F.size(F.array_intersect("__a", "__b"))
-    return joined.filter(both * (1 + similarity) >= similarity * (F.size("__a") + F.size("__b")) - 1e-6).select("a", "b")
-
-
 def by_radius(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 3, radius: int = 2) -> DataFrame:
     """id, fingerprint (one word) and group of each row: all pairs of fingerprints at most radius bits apart link."""
     rows = stored(fingerprints(df, text, [F.col(id_column)], n), "fingerprints")
-    return near_groups(rows, id_column, _parts((1 << 64) - 1, radius + 1), radius, 1).drop("root")
-
-
-def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """One row of df for each group of near-duplicates, with df's columns: that with the group's least id.
-
-    Rows link if their sets of n-word shingles are `similarity` alike or more: fingerprints find candidates, a pair just
-    so alike with probability `recall`, and the sets themselves are compared. Of rows that tie for the least id, that with the least
-    hash of its text stays, and of equal rows one. Rows without words are one group.
-    """
-    key = F.xxhash64(F.lit(0), F.col(text), F.col(id_column))
-    total = df.count()
-    words, blocks, radius = plan(total, similarity, recall)
-    rows = stored(fingerprints(df, text, [F.col(id_column).alias("__id"), key.alias("__key")], n, words, distinct=True), "fingerprints")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
-        one = rows.select(F.xxhash64("fingerprint").alias("vertex"), "__key").join(ends, "vertex").groupBy("vertex").agg(F.min("__key").alias("__key"))
-        one = stored(one, "ends")
-        texts = df.select(key.alias("__key"), F.col(text)).join(F.broadcast(one) if one.count() <= 100_000 else one, "__key")
-        return alike(pairs, stored(shingle_sets(texts.select("vertex", text).dropDuplicates(["vertex"]), n), "sets"), similarity)
-
-    grouped = near_groups(rows, "__id", blocks, radius, COMPARED, sample=16 if total >= 100_000 else 1, check=check).drop("fingerprint")
-    first = grouped.filter(F.col("__id").eqNullSafe(F.col("group"))).groupBy("root").agg(F.min("__key").alias("__first"))
-    copies = grouped.groupBy("__key").agg(F.count("*").alias("__copies"))
-    stay = stored(first.join(copies, F.col("__first") == F.col("__key")).select("__key", "__copies"), "stay")
-    kept = df.withColumn("__own", key).join(stay, F.col("__own") == F.col("__key"))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    if stay.filter("__copies > 1").isEmpty():
-        return kept.select(*columns)
-    again = kept.filter("__copies > 1").dropDuplicates(["__own"])
-    return kept.filter("__copies = 1").select(*columns).unionByName(again.select(*columns))
+    return near_groups(rows, id_column, _parts((1 << 64) - 1, radius + 1), radius).drop("root")
