@@ -70,6 +70,7 @@ class Op:
     key: str = "data"
     output_key: str | None = None
     branches: list[Pipeline] | None = None
+    cache: bool = False
 
     def __post_init__(self) -> None:
         if self.name.lower() not in KINDS:
@@ -105,6 +106,8 @@ class Op:
             made["output_key"] = self.output_key
         if self.branches is not None:
             made["branches"] = [b.spec()["operations"] for b in self.branches]
+        if self.cache:
+            made["cache"] = True
         return made
 
 
@@ -118,12 +121,12 @@ def make(spec: str | dict | Op) -> Op:
     nested = rest.pop("branches", None)
     inner = rest.pop("operations", None)
     if inner is not None:  # a pipeline in a pipeline, patched or not, is one branch
-        return Op(rest["name"], dict(rest.get("params") or {}), branches=[Pipeline(inner)])
-    return Op(rest["name"], dict(rest.get("params") or {}), rest.get("key", "data"), rest.get("output_key"), [Pipeline(b) for b in nested] if nested is not None else None)
+        return Op(rest["name"], dict(rest.get("params") or {}), branches=[Pipeline(inner)], cache=bool(rest.get("cache")))
+    return Op(rest["name"], dict(rest.get("params") or {}), rest.get("key", "data"), rest.get("output_key"), [Pipeline(b) for b in nested] if nested is not None else None, bool(rest.get("cache")))
 
 
 class Pipeline:
-    """Operations in order."""
+    """Operations in order. An operation with cache set keeps its result in memory or on disk for the next use of it."""
 
     def __init__(self, operations: list, validate: bool = True, **params: object) -> None:
         self.operations = [make(o) for o in operations]
@@ -164,6 +167,8 @@ class Pipeline:
                 if axes and not _is_block(df, op.key):
                     df, axes = as_blocks(df, op.key, axes), None
                 waiting.append(_step(op, given))
+                if op.cache:
+                    df, waiting = frames.on_frames(df, waiting).persist(), []
                 if op.name == "demodulate":  # what comes after knows the carrier that is gone
                     given = {"demodulation_frequency": op.bound(given)["center_frequency"]} | given
                 continue
@@ -172,6 +177,8 @@ class Pipeline:
             if op.branches is None and op.kind.axes and _is_block(df, op.key):
                 df = as_cells(df, op.key, op.kind.axes)
             df = op.apply(df, given)
+            if op.cache:
+                df = df.persist()
             axes = op.kind.out_axes or (_made(op.branches) if op.branches else None) or axes
         return frames.on_frames(df, waiting) if waiting else df
 
@@ -192,6 +199,17 @@ class Pipeline:
         inner = config.get("pipeline", config)
         return cls(inner["operations"], **(inner.get("params") or {}) | params)
 
+    @classmethod
+    def load(cls, path: str, **params: object) -> Pipeline:
+        """From a JSON or YAML file."""
+        with open(path, encoding="utf-8") as file:
+            return (cls.from_json if path.endswith(".json") else cls.from_yaml)(file.read(), **params)
+
+    def save(self, path: str) -> None:
+        """As a JSON or YAML file, which must not exist."""
+        with open(path, "x", encoding="utf-8") as file:
+            file.write(self.to_json() if path.endswith(".json") else self.to_yaml())
+
     @classmethod
     def from_json(cls, text: str, **params: object) -> Pipeline:
         return cls.from_config(json.loads(text), **params)

@@ -6,6 +6,7 @@ or images of 8 by 8. Results are rounded on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from sonarium.functions import columns as C
 from sonarium.operators import agents, beamform, cells, datasets, loader, metrics, mixture
 from sonarium.plans.pipeline import Pipeline, as_blocks
-from sonarium.sources import tensors
+from sonarium.sources import files, tensors
 from sonarium.streaming import frames as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,10 +662,19 @@ def _beliefs(t: Tables) -> DataFrame:
     return t.pixels().withColumn("belief", F.floor(F.col("vec_id") / 5))
 
 
-@query(f"WITH e AS (SELECT belief, x AS line, round(sum(exp((a.value - b.value) ** 2 / 8)), 5) AS v FROM {_PARTICLES} a JOIN {_PARTICLES} b USING (belief, z, x) GROUP BY 1, 2) SELECT belief, line FROM (SELECT *, row_number() OVER (PARTITION BY belief ORDER BY v DESC, line) AS k FROM e) WHERE k = 1")
-def greedy_first_line(t: Tables) -> DataFrame:
+def _greedy_sql(steps: int) -> str:
+    shape = [1 - math.exp(-0.5 * d * d) for d in (-2, -1, 0, 1, 2)]
+    ctes = [f"e0 AS (SELECT belief, x AS line, round(sum(exp((a.value - b.value) ** 2 / 8)), 5) AS v FROM {_PARTICLES} a JOIN {_PARTICLES} b USING (belief, z, x) GROUP BY 1, 2)"]
+    for k in range(steps):
+        ctes.append(f"b{k} AS (SELECT belief, line AS best FROM (SELECT *, row_number() OVER (PARTITION BY belief ORDER BY v DESC, line) AS n FROM e{k}) WHERE n = 1)")
+        ctes.append(f"e{k + 1} AS (SELECT e.belief, e.line, e.v * coalesce(list_extract([{', '.join(map(repr, shape))}], CASE WHEN e.line - best BETWEEN -2 AND 2 THEN e.line - best + 3 END), 1)::DOUBLE AS v FROM e{k} e JOIN b{k} b USING (belief))")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT belief, {k} AS step, best AS line FROM b{k}" for k in range(steps))
+
+
+@query(_greedy_sql(4))
+def greedy_lines(t: Tables) -> DataFrame:
     entropy = agents.line_entropy(_beliefs(t), ["belief"], 8, 8, 2.0).withColumn("entropy", r("entropy", 5))
-    return agents.greedy_lines(entropy, ["belief"], 3, 8).filter("step = 0").select("belief", "line")
+    return agents.greedy_lines(entropy, ["belief"], 4, 8)
 
 
 @query()
@@ -1036,3 +1046,18 @@ def guided_diffusion(t: Tables) -> DataFrame:
     now = mixture.cosine_schedule((F.col("event_id") % 20) / 20.0)
     image, state = mixture.guided_step(F.col("value"), F.lit(0.5), now, (F.lit(0.1), F.lit(0.9)), F.lit(7.0), F.col("event_id") % 2, 0.3)
     return t.events.select("event_id", r(image, 5).alias("image"), r(state, 5).alias("state"))
+
+
+@query(f"SELECT vec_id, z // 2 AS z, array_position([5, 2, 7], x) - 1 AS x, value FROM {PIXELS} WHERE z % 2 = 1 AND x IN (5, 2, 7)")
+def picked_axes(t: Tables) -> DataFrame:
+    return files.pick_axes(t.pixels(), {"z": slice(1, None, 2), "x": [5, 2, 7]}).select("vec_id", "z", "x", "value")
+
+
+@query(f"""
+    SELECT vec_id, z, x, CASE WHEN (x < 3.5 AND z >= 1 AND z < 6 AND x >= 1) THEN value ELSE 0 END AS box,
+        CASE WHEN z BETWEEN 1 AND 6 AND x <= 6 AND x > z - 0.25 THEN value ELSE 0 END AS triangle FROM {PIXELS}
+""")
+def masked_regions(t: Tables) -> DataFrame:
+    z, x = F.col("z"), F.col("x")
+    triangle = files.inside_polygon(z, x, [(0.5, 0.25), (6.5, 6.25), (6.5, 6.5), (0.5, 6.5)])
+    return t.pixels().select("vec_id", "z", "x", C.inpaint(F.col("value"), files.inside_box(z, x, 1, 1, 6, 3.5)).alias("box"), C.inpaint(F.col("value"), triangle).alias("triangle"))
