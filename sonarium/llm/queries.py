@@ -123,11 +123,11 @@ ORACLE_SQL = {
         v AS (SELECT *, (budget - 3 * coalesce(sum(total) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM o),
         l AS (SELECT here AS level FROM v WHERE here * w <= 3 * total ORDER BY ratio, source LIMIT 1),
         t AS (SELECT source, total, CASE WHEN level * w > 3 * total THEN CAST(3 * total AS DOUBLE) ELSE level * w END AS target FROM g, l),
-        c AS (SELECT doc_id, size, total, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size) AS served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT doc_id, size, total, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         f AS (SELECT size, (e * total + served) / nullif(target, 0) AS finish FROM c, (SELECT unnest([0, 1, 2]) AS e)),
         u AS (SELECT finish, sum(sum(size)) OVER (ORDER BY finish) AS upto FROM f WHERE finish IS NOT NULL GROUP BY finish),
         x AS (SELECT max(finish) AS last FROM u, b WHERE upto <= budget)
         SELECT doc_id, size, total AS source_size, round(target, 6) AS target,
-            CAST(size * ((served / nullif(target, 0) <= last)::INT + ((total + served) / nullif(target, 0) <= last)::INT + ((2 * total + served) / nullif(target, 0) <= last)::INT) AS BIGINT) AS taken FROM c, x
+            CAST(size * coalesce((served / nullif(target, 0) <= last)::INT + ((total + served) / nullif(target, 0) <= last)::INT + ((2 * total + served) / nullif(target, 0) <= last)::INT, 0) AS BIGINT) AS taken FROM c, x
     """,
 }
