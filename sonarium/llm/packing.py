@@ -35,7 +35,7 @@ class Encoder:
 
     vocabulary: path of the tokenizer's JSON, as the tokenizers library reads it; ranks: path of the same vocabulary
     as tiktoken's ranks, or None. With ranks the ids are the same and found in a fifth of the time. Special tokens'
-    strings in a text are ordinary text.
+    strings in a text become their ids, as in the tokenizers library without more being said.
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None) -> None:
@@ -43,7 +43,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             slow = Tokenizer.from_file(vocabulary)
-            slow.encode_special_tokens = True
             self.ids = lambda text: slow.encode(text, add_special_tokens=False).ids
         else:
             import public_tokenizers
@@ -51,7 +50,10 @@ class Encoder:
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.ids = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            with open(vocabulary, encoding="utf-8") as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+            self.ids = lambda text: fast.encode(text, allowed_special="all", disallowed_special=())
 
     def encode(self, text: str) -> bytes:
         return np.array(self.ids(text), "<u4").tobytes()
@@ -61,7 +63,7 @@ def sentence_ends(vocabulary: str) -> np.ndarray:
     """For each id whether its text ends a sentence: it holds a line break, or ends in a full stop, ! or ?."""
     with open(vocabulary, encoding="utf-8") as file:
         table = json.load(file)["model"]["vocab"]
-    ends = np.zeros(max(table.values()) + 1, bool)
+    ends = np.zeros(max(table.values()) + 1, bool)  # a special token beyond ends none
     for piece, i in table.items():
         ends[i] = piece.endswith((".", "!", "?")) or "Ċ" in piece
     return ends
