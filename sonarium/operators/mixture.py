@@ -44,9 +44,12 @@ def responsibilities(x: list[Column], mix: Mixture) -> list[Column]:
 
 def m_step(df: DataFrame, dims: list[str], mix: Mixture) -> DataFrame:
     """k, weight, mean_i, var_i: the next parameters, by one pass of partial sums."""
-    x = [F.col(d) for d in dims]
-    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), r.alias("r")) for k, r in enumerate(responsibilities(x, mix))))).alias("p")
-    rows = df.select(*dims, parts)
+    known = df.select(*dims, *(p.alias(f"__l{k}") for k, p in enumerate(mix.log_parts([F.col(d) for d in dims]))))  # worked out once a row
+    logs = [F.col(f"__l{k}") for k in range(len(mix.weights))]
+    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    known = known.withColumn("__whole", top + F.ln(sum((F.exp(p - top) for p in logs[1:]), F.exp(logs[0] - top))))
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.exp(p - F.col("__whole")).alias("r")) for k, p in enumerate(logs)))).alias("p")
+    rows = known.select(*dims, parts)
     r = F.col("p.r")
     sums = rows.groupBy(F.col("p.k").alias("k")).agg(F.sum(r).alias("__n"), F.count("*").alias("__rows"), *(F.sum(r * F.col(d)).alias(f"__s{i}") for i, d in enumerate(dims)), *(F.sum(r * F.col(d) * F.col(d)).alias(f"__q{i}") for i, d in enumerate(dims)))
     mean = lambda i: F.col(f"__s{i}") / F.col("__n")

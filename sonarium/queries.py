@@ -685,34 +685,39 @@ def covariance_lines(t: Tables) -> DataFrame:
 
 # Mixtures and diffusion
 
-_MIX = mixture.Mixture([0.4, 0.6], [[0.1, -0.2], [-0.1, 0.3]], [[0.5, 0.4], [0.8, 0.3]])
+_DIMS = [f"d{i}" for i in range(64)]
+_MIX = mixture.Mixture([0.4, 0.6], [[(i % 5 - 2) / 10 for i in range(64)], [(i % 3 - 1) / 5 for i in range(64)]], [[0.9 + i / 100 for i in range(64)], [1.3 - i / 100 for i in range(64)]])
 
 
 def _part(k: int) -> str:
-    w, m, v = _MIX.weights[k], _MIX.means[k], _MIX.variances[k]
-    return f"{w} * exp(-0.5 * ((a - {m[0]}) ** 2 / {v[0]} + (b - {m[1]}) ** 2 / {v[1]})) / (2 * pi() * sqrt({v[0] * v[1]!r}))"
+    """The log of a component's weight and density."""
+    w, means, variances = _MIX.weights[k], _MIX.means[k], _MIX.variances[k]
+    return f"{math.log(w)!r} - 0.5 * ({' + '.join(f'((d{i} - {m!r}) ** 2 / {v!r} + {math.log(2 * math.pi * v)!r})' for i, (m, v) in enumerate(zip(means, variances, strict=True)))})"
 
 
-_AB = "(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"
+_POINTS = f"(SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS d{i}' for i in range(64))} FROM embeddings)"
+_SHARES = f"""
+    l AS (SELECT *, {_part(0)} AS l0, {_part(1)} AS l1 FROM {_POINTS}), g AS (SELECT *, greatest(l0, l1) + ln(exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS logp FROM l),
+    s AS (SELECT *, exp(l0 - logp) AS r0 FROM g)
+"""
 
 
 def _points(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
+    return t.embeddings.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(_DIMS)))
 
 
-@query(f"SELECT vec_id, round(ln({_part(0)} + {_part(1)}), 6) AS logp, round({_part(0)} / ({_part(0)} + {_part(1)}), 6) AS r0 FROM {_AB}")
+@query(f"WITH {_SHARES} SELECT vec_id, round(logp, 6) AS logp, round(r0, 6) AS r0 FROM s")
 def gmm_e_step(t: Tables) -> DataFrame:
-    x = [F.col("a"), F.col("b")]
+    x = [F.col(d) for d in _DIMS]
     return _points(t).select("vec_id", r(mixture.log_density(x, _MIX)).alias("logp"), r(mixture.responsibilities(x, _MIX)[0]).alias("r0"))
 
 
 @query(f"""
-    WITH q AS (SELECT k, a, b, CASE WHEN k = 0 THEN {_part(0)} ELSE {_part(1)} END / ({_part(0)} + {_part(1)}) AS r FROM {_AB}, (SELECT unnest([0, 1]) AS k))
-    SELECT k, round(sum(r) / count(*), 6) AS weight, round(sum(r * a) / sum(r), 6) AS mean_0, round(sum(r * b) / sum(r), 6) AS mean_1,
-        round(sum(r * a * a) / sum(r) - (sum(r * a) / sum(r)) ** 2, 6) AS var_0, round(sum(r * b * b) / sum(r) - (sum(r * b) / sum(r)) ** 2, 6) AS var_1 FROM q GROUP BY 1
+    WITH {_SHARES}, q AS (SELECT *, k, CASE WHEN k = 0 THEN r0 ELSE exp(l1 - logp) END AS r FROM s, (SELECT unnest([0, 1]) AS k))
+    SELECT k, round(sum(r) / count(*), 6) AS weight, {', '.join(f'round(sum(r * d{i}) / sum(r), 6) AS mean_{i}, round(sum(r * d{i} * d{i}) / sum(r) - (sum(r * d{i}) / sum(r)) ** 2, 6) AS var_{i}' for i in range(64))} FROM q GROUP BY 1
 """)
 def gmm_m_step(t: Tables) -> DataFrame:
-    made = mixture.m_step(_points(t), ["a", "b"], _MIX)
+    made = mixture.m_step(_points(t), _DIMS, _MIX)
     return made.select("k", *(r(c).alias(c) for c in made.columns if c != "k"))
 
 
@@ -1032,9 +1037,9 @@ def polar_pixels(t: Tables) -> DataFrame:
     return beamform.radial_grid(t.spark, (1.0, 4.0), (-0.5, 0.5), 4, 5).select("pix", (r("x") + 0.0).alias("x"), r("z").alias("z"))
 
 
-@query(f"SELECT vec_id, draw, CASE WHEN CAST('0x' || substr(md5('6:' || CAST(vec_id AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 >= {_part(0)} / ({_part(0)} + {_part(1)}) THEN 1 ELSE 0 END AS k FROM {_AB}, (SELECT unnest(range(0, 3)) AS draw)")
+@query(f"WITH {_SHARES} SELECT vec_id, draw, CASE WHEN CAST('0x' || substr(md5('6:' || CAST(vec_id AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 >= r0 THEN 1 ELSE 0 END AS k FROM s, (SELECT unnest(range(0, 3)) AS draw)")
 def gmm_posterior(t: Tables) -> DataFrame:
-    return mixture.posterior_sample(_points(t), ["a", "b"], _MIX, "vec_id", 3, 6)
+    return mixture.posterior_sample(_points(t), _DIMS, _MIX, "vec_id", 3, 6)
 
 
 @query("""
