@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back by byte ranges."""
-    records = warc.read_warc(warc.archive(spark, _table(spark, sf_dir, "pages")))
+    files = warc.archive(spark, _table(spark, sf_dir, "pages"))
+    records = warc.complete(warc.read_warc(files).drop("payload", "target_uri"), files)
     number = lambda name: F.regexp_extract(name, r"(-?\d+)$", 1).try_cast("long")
     return records.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),

@@ -19,15 +19,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarium.llm.shared import pieces, shared_dir
+from sonarium.llm.shared import pieces, shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "warc_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, path string, offset long"
-#: A member is taken for a record if this much of it, decoded, holds the end of the record's headers.
-HEAD_LIMIT = 1 << 20
+RECORD = "warc_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, path string, offset long, damage string"
 CHUNK = 1 << 18
 #: Byte ranges are dealt to so many tasks at most; a task reads its ranges one after another.
 MOST_TASKS = 20_000
@@ -71,21 +69,20 @@ class Members:
         return self.file.read(min(n, self.size - at)) if at < self.size else b""
 
     def header(self, at: int) -> bool:
-        """Whether a member that begins here decodes to a record's headers."""
-        decode, out, pos = zlib.decompressobj(31), b"", at
-        while pos < self.size and len(out) < HEAD_LIMIT:
-            data = self.bytes_at(pos, 4096)
-            pos += len(data)
+        """Whether a member that begins here decodes to a record's headers, however long they are."""
+        decode, out, pos, step = zlib.decompressobj(31), bytearray(), at, 4096
+        while pos < self.size and not decode.eof:
+            data = self.bytes_at(pos, step)
+            pos, step = pos + len(data), min(2 * step, CHUNK)
+            seen = max(0, len(out) - 3)
             try:
-                out += decode.decompress(data, HEAD_LIMIT)
+                out += decode.decompress(data)
             except zlib.error:
                 return False
             if not VERSION[:5].startswith(out[:5]) and not out.startswith(VERSION[:5]):
                 return False
-            if b"\r\n\r\n" in out:
-                return "content-length" in _fields(out[: out.index(b"\r\n\r\n")])
-            if decode.eof:
-                return False
+            if (end := out.find(b"\r\n\r\n", seen)) >= 0:
+                return "content-length" in _fields(bytes(out[:end]))
         return False
 
     def find(self, at: int, end: int) -> int | None:
@@ -145,13 +142,13 @@ def parse(content: bytes) -> dict | None:
 
 
 def records_in(members: Members, start: int, end: int) -> Iterator[tuple[int, dict]]:
-    """The records whose members begin in [start, end), with their places. Damaged ones are passed over."""
+    """The records whose members begin in [start, end), with their places. A damaged one says what is wrong, and reading
+    goes on at the next member that decodes."""
     at = members.find(start, end)
     while at is not None and at < end:
         read = members.member(at)
         record = parse(read[0]) if read else None
-        if record:
-            yield at, record
+        yield at, record or {"damage": "the record's lengths or digest don't hold" if read else "the member doesn't decode"}
         if read and members.bytes_at(read[1], len(MAGIC)) == MAGIC:
             at = read[1]
         else:
@@ -206,19 +203,20 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", uri: str
 def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """The records of gzipped WARC files, given as rows with path and bytes, read by ranges of split_bytes.
 
-    Columns as in RECORD; payload is null for revisits. Damaged members are passed over, and reading goes on at the
-    next one that decodes. A file of no bytes has no records.
+    Columns as in RECORD; payload is null for revisits. A member whose headers decode, but that is damaged, gives a row
+    of path, offset and damage, null elsewhere; reading goes on at the next one that decodes. What isn't recognised at
+    all gives no row: `complete` compares the number of records with the manifest's. A file of no bytes has no records.
     """
     starts = F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / split_bytes).cast("int")))
     ranges = files.filter("bytes > 0").select("path", "bytes", starts.alias("__k"))
     ranges = ranges.select("path", "bytes", (F.col("__k").cast("long") * split_bytes).alias("start"))
     ranges = ranges.repartition(min(MOST_TASKS, max(1, ranges.count())))
     names = [f.split()[0] for f in RECORD.split(", ")]
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64()]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kind) for n, kind in zip(names, kinds, strict=True)], names)
 
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -227,7 +225,7 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                     rows, held = [], 0
                     for at, record in records_in(Members(file, size), start, min(size, start + split_bytes)):
                         rows.append(record | {"path": path, "offset": at})
-                        held += len(record["payload"] or b"")
+                        held += len(record.get("payload") or b"")
                         if held > 8 << 20 or len(rows) == 4096:
                             yield batch_of(rows)
                             rows, held = [], 0
@@ -237,6 +235,16 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     return ranges.mapInArrow(run, RECORD)
 
 
+def complete(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records (of read_warc, any of its columns but damage among them), stored; raises where one is damaged or missing."""
+    found = stored(records, "records")
+    held = found.agg(F.count("*").alias("n"), F.count("damage").alias("damaged")).first()
+    want = files.agg(F.sum("records")).first()[0] or 0
+    if held["damaged"] or held["n"] != want:
+        raise ValueError(f"{want} records were written, {held['n']} read, {held['damaged']} of them damaged")
+    return found.drop("damage")
+
+
 def archive(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     """Writes pages as WARC files in the shared folder and returns the manifest, which is stored beside them."""
     root = shared_dir(spark, "warc")
