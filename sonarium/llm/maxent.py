@@ -3,24 +3,28 @@
 Words are mapped to units: the most frequent words have one each, all others share buckets by hash. The probability of
 a unit given its context is that of its class times that of the unit in its class, each a softmax over sums of weight
 rows; rows belong to features of the context, the last unit, the last two together, and the second and third last by
-themselves (skips), hashed into tables of fixed size. A word of a bucket then has its smoothed share of the bucket.
-Training goes through all texts in rounds: each task takes gradient steps on its part and the changes are averaged.
+themselves (skips), hashed into tables whose rows grow with the tokens counted, up to a bound. A word of a bucket then
+has its smoothed share of the bucket.
+
+Training texts are dealt by hash to rounds, and in a round to shards of some millions of tokens, so that each is seen
+once, and the model is the same however files and tasks fall. A shard takes gradient steps from the round's weights; the
+changes of a weight row are averaged over the shards that touched it, by how often they did.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.shared import pieces, shared_dir, stored
+from sonarium.llm.shared import pieces, release, shared_dir, stored
 
 CLASSES, MEMBERS = 32, 32
 UNITS = CLASSES * MEMBERS
@@ -30,17 +34,30 @@ HEAD = UNITS - BUCKETS
 START = UNITS
 #: Words whose counts every worker holds; the counts of all others are joined.
 FREQUENT = 1 << 17
-CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
+#: Tokens for each weight row of the classes; members have twice as many rows. Of each table at least and at most so
+#: many, 32 MB of weights, which every worker holds.
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 12, 1 << 18
 ROUNDS = 3
+#: Tokens that one shard learns from, one after another: so many at least, and so many for each weight row, which keeps
+#: the changes that shards hand over (136 bytes for a row that is touched) below the texts' own size.
+SHARD_TOKENS, SHARD_TOKENS_A_ROW = 2_000_000, 64
 BATCH, RATE = 8192, 0.3
-#: Values of a weight table that are summed up by one task.
-BLOCK = 1 << 15
+#: Rows of a weight table whose changes are put together by one task.
+BLOCK = 1 << 10
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased, and the end, which is empty; of a null text, the end alone."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, A-Z lower-cased, one text after another, and where each text's begin and end. Ends of texts
+    aren't among them; a null text has no words."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, starts = cut.flatten().cast(pa.binary()), cut.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    whole = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if not whole.all():  # white space at a text's ends
+        starts = np.concatenate(([0], np.cumsum(whole)))[starts]
+        flat = flat.filter(pa.array(whole))
+    return flat, starts
 
 
 def bucket(word: bytes) -> int:
@@ -53,10 +70,10 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            seen: Counter[bytes] = Counter()
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            if batch.num_rows:
+                seen = pc.value_counts(tokens(batch.column(0))[0])
+                words = pa.concat_arrays([seen.field(0), pa.array([END], pa.binary())])
+                yield pa.RecordBatch.from_arrays([words, pa.concat_arrays([seen.field(1), pa.array([batch.num_rows], pa.int64())])], ["word", "n"])
 
     return df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
@@ -107,7 +124,7 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     return Vocabulary(words, np.array([r["count"] for r in top], np.int64), bucket_total, bucket_words, int(total or 0), size)
 
 
-ENCODED = "row long, n_tokens long, n_near long, near double, tail double, units binary, rare array<struct<word: binary, n: int>>"
+ENCODED = "row long, n_tokens long, n_near long, near double, tail double, units binary, rare array<binary>"
 
 
 def encode(df: DataFrame, text: str, keep: list[Column | str], vocab: Vocabulary) -> DataFrame:
@@ -117,28 +134,43 @@ def encode(df: DataFrame, text: str, keep: list[Column | str], vocab: Vocabulary
     kept = given.drop("__text").schema
     names = [*(f.name for f in kept.fields), "row", "n_tokens", "n_near", "near", "tail", "units", "rare"]
     held = df.sparkSession.sparkContext.broadcast((vocab.words, vocab.counts, vocab.units()))  # FREQUENT words at most
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, unit_of = held.value
-        place = {w: i for i, w in enumerate(words)}
+        known = pa.array(words, pa.binary())
         logs, row = np.log10(counts + 1.0), TaskContext.get().partitionId() << 40
+        end = words.index(END) if END in words else -1
         for batch in pieces(batches):
-            made = []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                cut = tokens(t)
-                at = np.fromiter((place.get(w, -1) for w in cut), np.int64, len(cut))
-                near = at >= 0
-                units = np.zeros(len(cut), np.uint16)
-                units[near] = unit_of[at[near]]
-                rare = [cut[i] for i in np.flatnonzero(~near).tolist()]
-                if rare:
-                    units[~near] = [bucket(w) for w in rare]
-                own = at[near]
-                made.append((row, len(cut), len(own), float(logs[own].sum()), float(logs[own[own >= HEAD]].sum()), units.tobytes(), [{"word": w, "n": n} for w, n in Counter(rare).items()]))
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names)
+            n = batch.num_rows
+            if not n:
+                continue
+            flat, starts = tokens(batch.column(batch.num_columns - 1))
+            of = np.repeat(np.arange(n), np.diff(starts))
+            at = np.full(len(flat) + n, end, np.int64)  # a text's words, and its end
+            place = np.arange(len(flat)) + of
+            found = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False) if len(known) else np.full(len(flat), -1)
+            at[place] = found
+            text_of = np.repeat(np.arange(n), np.diff(starts) + 1)
+            near = at >= 0
+            units = np.full(len(at), bucket(END), np.uint16)
+            units[near] = unit_of[at[near]]
+            far = flat.filter(pa.array(found < 0))
+            if len(far):
+                coded = far.dictionary_encode()
+                units[place[found < 0]] = np.array([bucket(w) for w in coded.dictionary.to_pylist()], np.uint16)[coded.indices.to_numpy()]
+            own = np.where(near, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(at))
+            sums = lambda v, k=text_of, n=n: np.bincount(k, v, n)
+            ends = starts + np.arange(n + 1)
+            raw, cut = units.tobytes(), (2 * ends).astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(raw)])
+            rare, rare_starts = far, np.concatenate(([0], np.cumsum(np.bincount(of[found < 0], minlength=n))))
+            if end < 0:  # the end itself is joined like any word without a count at hand
+                rare = pa.concat_arrays([rare, pa.array([END] * n, pa.binary())])
+                order = np.argsort(np.concatenate((of[found < 0], np.arange(n))), kind="stable")
+                rare, rare_starts = rare.take(pa.array(order)), rare_starts + np.arange(n + 1)
+            made = [pa.array(row + np.arange(n)), pa.array(np.diff(ends)), pa.array(sums(near).astype(np.int64)), pa.array(sums(own)), pa.array(sums(np.where(at >= HEAD, own, 0.0))), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made, pa.ListArray.from_arrays(pa.array(rare_starts.astype(np.int32)), rare)], names)
+            row += n
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields]
     return given.mapInArrow(run, ", ".join([*fields, ENCODED]))
@@ -160,6 +192,12 @@ def contexts(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(before)
 
 
+def rows_for(tokens: int) -> tuple[int, int]:
+    """Weight rows of the classes and of the members, powers of two that grow with the tokens of training."""
+    of_class = min(MOST_ROWS, max(LEAST_ROWS, 1 << (tokens // TOKENS_A_ROW).bit_length()))
+    return of_class, min(MOST_ROWS, 2 * of_class)
+
+
 @dataclass
 class Weights:
     """Weight rows of the classes and of the classes' members, and the biases of both."""
@@ -170,36 +208,26 @@ class Weights:
     member_bias: np.ndarray
 
     @staticmethod
-    def start(unit_counts: np.ndarray) -> Weights:
+    def start(unit_counts: np.ndarray, rows: tuple[int, int] = (LEAST_ROWS, 2 * LEAST_ROWS)) -> Weights:
         """No features yet: units are as likely as they are frequent."""
         table = (unit_counts + 0.5).reshape(MEMBERS, CLASSES).T  # unit = member * CLASSES + class
-        return Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32), np.log(table.sum(axis=1) / table.sum()).astype(np.float32), np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+        return Weights(np.zeros((rows[0], CLASSES), np.float32), np.zeros((rows[1], MEMBERS), np.float32), np.log(table.sum(axis=1) / table.sum()).astype(np.float32), np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
-    def copy(self) -> Weights:
-        return Weights(self.of_class.copy(), self.of_member.copy(), self.class_bias.copy(), self.member_bias.copy())
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.of_class, self.of_member
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in (self.of_class, self.of_member, self.class_bias, self.member_bias)])
 
-    def plus(self, change: np.ndarray) -> Weights:
-        out, at = [], 0
-        for a in (self.of_class, self.of_member, self.class_bias, self.member_bias):
-            out.append(a + change[at : at + a.size].reshape(a.shape))
-            at += a.size
-        return Weights(*out)
-
-
-def _rows(u1: np.ndarray, u2: np.ndarray, u3: np.ndarray, kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _rows(w: Weights, u1: np.ndarray, u2: np.ndarray, u3: np.ndarray, kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Rows of the features in the class table and, together with the class, in the members' table."""
-    span = UNITS + 1
+    span, n, m = UNITS + 1, len(w.of_class), len(w.of_member)
     pair = u1 * span + u2
-    of_class = [_hash(u1 + 1, CLASS_ROWS), _hash(u2 + 7 * span, CLASS_ROWS), _hash(u3 + 19 * span, CLASS_ROWS), _hash(pair + 31 * span, CLASS_ROWS)]
-    of_member = [_hash(u1 * CLASSES + kind + 1, MEMBER_ROWS), _hash(u2 * CLASSES + kind + 77 * span * CLASSES, MEMBER_ROWS), _hash(pair * CLASSES + kind + 131 * span, MEMBER_ROWS)]
+    of_class = [_hash(u1 + 1, n), _hash(u2 + 7 * span, n), _hash(u3 + 19 * span, n), _hash(pair + 31 * span, n)]
+    of_member = [_hash(u1 * CLASSES + kind + 1, m), _hash(u2 * CLASSES + kind + 77 * span * CLASSES, m), _hash(pair * CLASSES + kind + 131 * span, m)]
     return of_class, of_member
 
 
 def _normal(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    np.clip(logits, -60, 60, out=logits)  # what 32 bits can hold, and their sum
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
@@ -207,13 +235,14 @@ def _normal(logits: np.ndarray) -> np.ndarray:
 
 def _probabilities(w: Weights, u: np.ndarray, u1: np.ndarray, u2: np.ndarray, u3: np.ndarray) -> tuple:
     kind, member = u % CLASSES, u // CLASSES
-    of_class, of_member = _rows(u1, u2, u3, kind)
+    of_class, of_member = _rows(w, u1, u2, u3, kind)
     a = w.class_bias + w.of_class[of_class[0]]
-    for r in of_class[1:]:
-        a += w.of_class[r]
     b = w.member_bias[kind]
+    row = np.empty_like(a)
+    for r in of_class[1:]:
+        a += np.take(w.of_class, r, axis=0, out=row, mode="clip")
     for r in of_member:
-        b += w.of_member[r]
+        b += np.take(w.of_member, r, axis=0, out=row, mode="clip")
     return _normal(a), _normal(b), kind, member, of_class, of_member
 
 
@@ -227,22 +256,14 @@ def log_probabilities(w: Weights, flat: tuple[np.ndarray, ...], batch: int = BAT
     return out
 
 
-def _descend(table: np.ndarray, past: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
-    """An Adagrad step, row by row, on the sums of the slopes of each row."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits hold any row, and are sorted by radix
-    own = rows[order]
-    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    sums, own = np.add.reduceat(slope[order], begin, axis=0), own[begin]
-    past[own] += (sums * sums).mean(axis=1)
-    table[own] -= RATE * sums / np.sqrt(past[own] + 1.0)[:, None]
-
-
 class Trainer:
-    """Gradient steps on one task's texts, from weights that stay as they were."""
+    """Gradient steps on one shard's texts, from weights that are left as they were."""
 
     def __init__(self, weights: Weights) -> None:
-        self.given, self.w, self.seen = weights, weights.copy(), 0
-        self.past = [np.zeros(CLASS_ROWS, np.float32), np.zeros(MEMBER_ROWS, np.float32)]
+        self.given, self.tokens = weights, 0
+        self.w = Weights(weights.of_class.copy(), weights.of_member.copy(), weights.class_bias, weights.member_bias)
+        self.past = [np.zeros(len(t), np.float32) for t in weights.tables()]
+        self.seen = [np.zeros(len(t), np.int64) for t in weights.tables()]
 
     def learn(self, flat: tuple[np.ndarray, ...]) -> None:
         for i in range(0, len(flat[0]), BATCH):
@@ -250,49 +271,93 @@ class Trainer:
             at = np.arange(len(kind))
             a[at, kind] -= 1
             b[at, member] -= 1
-            for r in of_class:
-                _descend(self.w.of_class, self.past[0], r, a)
-            for r in of_member:
-                _descend(self.w.of_member, self.past[1], r, b)
-            self.seen += len(kind)
-
-    def change(self) -> np.ndarray:
-        return self.w.flat() - self.given.flat()
+            for k, (slope, features) in enumerate(((a, of_class), (b, of_member))):
+                values, columns = slope.ravel().astype(np.float64), np.arange(slope.shape[1])
+                for r in features:
+                    self._descend(k, r, values, columns)
+            self.tokens += len(kind)
+
+    def _descend(self, k: int, rows: np.ndarray, slope: np.ndarray, columns: np.ndarray) -> None:
+        """An Adagrad step, row by row, on the sums of the slopes (row-major) of each row."""
+        own, of, seen = np.unique(rows, return_inverse=True, return_counts=True)
+        width = len(columns)
+        sums = np.bincount((of[:, None] * width + columns).ravel(), slope, len(own) * width).reshape(len(own), width).astype(np.float32)
+        past, table = self.past[k], self.w.tables()[k]
+        past[own] += np.einsum("ij,ij->i", sums, sums) / width
+        table[own] -= (RATE / np.sqrt(past[own] + 1.0))[:, None] * sums
+        self.seen[k][own] += seen
+
+    def changes(self) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+        """Of each table and block of rows: the rows that were touched, how often each was, and their changes."""
+        for k, (now, before) in enumerate(zip(self.w.tables(), self.given.tables(), strict=True)):
+            touched = np.flatnonzero(self.seen[k])
+            for own in np.split(touched, np.flatnonzero(np.diff(touched // BLOCK)) + 1) if len(touched) else []:
+                yield k, int(own[0] // BLOCK), (own % BLOCK).astype(np.int16).tobytes(), self.seen[k][own].tobytes(), (now[own] - before[own]).tobytes()
 
 
 def _units(batch: pa.RecordBatch, name: str = "units") -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def train_round(rows: DataFrame, weights: Weights) -> Weights:
-    """One round: every task steps through its rows' units; changes are averaged, weighted by tokens, a block a task."""
+CHANGES = "kind int, block long, shard long, rows binary, seen binary, change binary"
+CHANGE_NAMES = [f.split()[0] for f in CHANGES.split(", ")]
+CHANGE_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _changes(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(CHANGE_KINDS)], CHANGE_NAMES)
+
+
+def train_round(rows: DataFrame, weights: Weights, shards: int) -> Weights:
+    """One round over rows (shard, order, units): every shard takes its steps, in order; of each weight row the changes
+    are averaged, weighted by how often a shard touched it, by tasks of their own. What is touched comes to the driver,
+    no more than the weights' own size."""
     sc = rows.sparkSession.sparkContext
-    held = sc.broadcast(weights)  # of fixed size
+    held = sc.broadcast(weights)  # MOST_ROWS of each table at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(held.value)
+        now, trainer = None, None
         for batch in pieces(batches, 4 << 20):
-            if batch.num_rows:
-                trainer.learn(contexts(_units(batch)))
-        if trainer.seen:
-            change = (trainer.change() * trainer.seen).astype(np.float32)
-            for k in range(0, len(change), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([change[k : k + BLOCK].tobytes()], pa.binary())], ["block", "seen", "change"])
+            shard = batch.column(0).to_numpy()
+            for own in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                if not len(own):
+                    continue
+                if shard[own[0]] != now:
+                    if trainer:
+                        yield from (_changes([(k, b, now, *rest)]) for k, b, *rest in trainer.changes())
+                    now, trainer = int(shard[own[0]]), Trainer(held.value)
+                trainer.learn(contexts(_units(batch.slice(int(own[0]), len(own)))))
+        if trainer:
+            yield from (_changes([(k, b, now, *rest)]) for k, b, *rest in trainer.changes())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        seen: Counter[int] = Counter()
+        now, sums, seen = None, np.zeros((BLOCK, CLASSES)), np.zeros(BLOCK)
+
+        def made() -> pa.RecordBatch:
+            own = np.flatnonzero(seen)
+            return _changes([(*now, 0, own.astype(np.int16).tobytes(), seen[own].astype(np.int64).tobytes(), (sums[own] / seen[own, None]).astype(np.float32).tobytes())])
+
         for batch in batches:
-            for k, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(x, np.float32).astype(np.float64)
-                sums[k] = sums[k] + own if k in sums else own
-                seen[k] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([seen[k] for k in sums], pa.int64()), pa.array([(sums[k] / seen[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["block", "seen", "change"])
-
-    changes = rows.select("units").mapInArrow(run, "block int, seen long, change binary")
-    total = changes.repartition(16, "block").mapInArrow(add, "block int, seen long, change binary").orderBy("block").collect()
+            for k, block, _, at, n, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, block) != now:
+                    if now:
+                        yield made()
+                    now = (k, block)
+                    sums[:], seen[:] = 0, 0
+                at, n = np.frombuffer(at, np.int16), np.frombuffer(n, np.int64)
+                sums[at] += np.frombuffer(change, np.float32).reshape(len(at), -1) * n[:, None].astype(np.float64)
+                seen[at] += n
+        if now:
+            yield made()
+
+    changes = rows.select("shard", "units", "order").repartition(max(1, shards), "shard").sortWithinPartitions("shard", "order").select("shard", "units").mapInArrow(run, CHANGES)
+    total = changes.repartition(16, "kind", "block").sortWithinPartitions("kind", "block", "shard").mapInArrow(add, CHANGES).select("kind", "block", "rows", "change").collect()
     held.unpersist()
-    return weights.plus(np.concatenate([np.frombuffer(r["change"], np.float32) for r in total])) if total else weights
+    made = Weights(weights.of_class.copy(), weights.of_member.copy(), weights.class_bias, weights.member_bias)
+    for r in total:
+        at = np.frombuffer(r["rows"], np.int16).astype(np.int64) + r["block"] * BLOCK
+        made.tables()[r["kind"]][at] += np.frombuffer(r["change"], np.float32).reshape(len(at), -1)
+    return made
 
 
 def score_rows(encoded: DataFrame, keep: list[str], weights: Weights, vocab: Vocabulary) -> DataFrame:
@@ -325,16 +390,21 @@ def score(df: DataFrame, held_out: Column, id_column: str = "doc_id", text: str
     spark = df.sparkSession
     counts = stored(count_words(df.filter(~held_out), text), "counts")
     vocab = vocabulary(counts, frequent)
-    part = F.when(held_out, -1).otherwise(F.pmod(F.xxhash64(id_column, text), F.lit(rounds)).cast("int")).alias("part")
+    order = F.xxhash64(F.lit(0), id_column, text)
+    part = F.when(held_out, -1).otherwise(F.pmod(order, F.lit(rounds)).cast("int")).alias("part")
+    rows = rows_for(vocab.total)
+    shards = max(1, -(-vocab.total // (rounds * max(SHARD_TOKENS, SHARD_TOKENS_A_ROW * sum(rows)))))
+    shard = F.pmod(F.xxhash64(F.lit(1), order), F.lit(shards)).cast("long").alias("shard")
     path = shared_dir(spark, "encoded")
-    made = encode(df, text, [F.col(id_column).alias("__id"), held_out.alias("held_out"), part], vocab)
+    made = encode(df, text, [F.col(id_column).alias("__id"), held_out.alias("held_out"), order.alias("order"), shard, part], vocab)
     made.write.partitionBy("part").parquet(path)
     encoded = spark.read.schema(made.schema).parquet(path)
-    weights = Weights.start(vocab.unit_counts())
+    weights = Weights.start(vocab.unit_counts(), rows)
     for k in range(rounds):
-        weights = train_round(encoded.filter(F.col("part") == k), weights)
-    rare = encoded.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
-    known = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("count") + 1.0)).alias("rare"))
+        weights = train_round(encoded.filter(F.col("part") == k), weights, shards)
+        release(spark)
+    rare = encoded.select("row", F.explode("rare").alias("word"))
+    known = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("count") + 1.0)).alias("rare"))
     scored = score_rows(encoded, ["row", "__id", "held_out", "n_tokens", "n_near", "near", "tail"], weights, vocab)
     full = scored.join(known, "row", "left").na.fill(0, ["n_rare"]).na.fill(0.0, ["rare"])
     return full.select(
