@@ -350,7 +350,8 @@ def train_round(rows: DataFrame, weights: Weights, shards: int) -> Weights:
         if now:
             yield made()
 
-    changes = rows.select("shard", "units", "order").repartition(max(1, shards), "shard").sortWithinPartitions("shard", "order").select("shard", "units").mapInArrow(run, CHANGES)
+    dealt = rows.select("shard", "units", "order").repartitionById(max(1, shards), F.col("shard").cast("int"))  # a task a shard
+    changes = dealt.sortWithinPartitions("shard", "order").select("shard", "units").mapInArrow(run, CHANGES)
     total = changes.repartition(16, "kind", "block").sortWithinPartitions("kind", "block", "shard").mapInArrow(add, CHANGES).select("kind", "block", "rows", "change").collect()
     held.unpersist()
     made = Weights(weights.of_class.copy(), weights.of_member.copy(), weights.class_bias, weights.member_bias)
