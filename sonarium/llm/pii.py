@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarium.llm.shared import pieces
 
-KEY = b"surrogates"
+#: The setting of the session that holds the key, and a key for tests and synthetic tables, which protects nothing.
+KEY_SETTING, TEST_KEY = "spark.sonarium.surrogates.key", b"a key for synthetic tables"
 #: Times that a type is keyed anew before the check gives up.
 ATTEMPTS = 8
 
@@ -42,6 +43,7 @@ SURNAME_PARTS = {
 # Titles that stand before a name, by gender.
 TITLES = {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Sra": "f", "Mr": "m", "Herr": "m", "Sr": "m", "Dr": "", "Prof": ""}
 
+GIVEN_NAMES = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
 LETTERS = r"[^\W\d_]"
 UPPER = "[" + "".join(c for c in map(chr, (*range(0x530), *range(0x1E00, 0x2000))) if c.isupper()) + "]"
 LOWER = "[" + "".join(c for c in map(chr, (*range(0x530), *range(0x1E00, 0x2000))) if c.islower()) + "]"
@@ -62,11 +64,11 @@ PATTERNS = [
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w-])(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{13,16})(?![\w-])"),
     ("phone", r"(?<![\w+])\+\d(?:[ ./-]?\(?\d\)?){7,14}(?![\w-])|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("person", rf"{TITLED}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}"),
+    ("person", rf"{TITLED}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}|(?<!\w)(?:{GIVEN_NAMES})(?: {BEFORE}{NAME}){{1,3}}"),
 ]
 FINDER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
-#: A text without a digit, an @ or a title has no entity.
-HINT = re.compile(r"[0-9@]|\b(?:" + "|".join(TITLES) + r")\b")
+#: A text without a digit, an @, a title or a given name has no entity.
+HINT = re.compile(r"[0-9@]|\b(?:" + "|".join(TITLES) + "|" + GIVEN_NAMES + r")\b")
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
@@ -115,6 +117,12 @@ def _bare(value: str) -> list[str]:
     return [name, *(part for part in name.split(" ") if part not in PARTICLES)]
 
 
+def _full(value: str) -> bool:
+    """Whether an untitled name begins with a given name of the lists and has more to it."""
+    first, _, more = value.partition(" ")
+    return bool(more and gender_of(first))
+
+
 def normal(kind: str, value: str) -> str:
     """What makes two mentions the same entity: spelling and separators left aside."""
     if kind in ("card", "ssn"):
@@ -175,6 +183,10 @@ def _luhn(digits: str) -> bool:
     return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
 
 
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def _digits(key: bytes, value: str, leave: int, alike: Callable[[str], object]) -> str:
     """value with its digits, after the first `leave`, permuted together.
 
@@ -225,7 +237,7 @@ def _person(key: bytes, value: str, attempt: int) -> str:
     title, name = _named(value)
     *first, last = name.split(" ")
     told = [g for t in title.split() if (g := TITLES[t.rstrip(".")])]
-    gender = told[-1] if told else (gender_of(first[0]) if first else "") or "fm"[_number(key, 2, "gender", name)]
+    gender = (gender_of(first[0]) if first else "") or (told[-1] if told else "fm"[_number(key, 2, "gender", name)])
     script = script_of(name)
     heads, middles, tails = SURNAME_PARTS[script]
     parts = [heads, *[middles] * (2 + 2 * attempt), tails]
@@ -264,7 +276,7 @@ def _shaped(fresh: str, symbols: Callable[[str], bool], value: str) -> str:
     return "".join(next(pool) if symbols(c) else c for c in value)
 
 
-def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of a mention: it follows from the key, the type and the normalised value, in the mention's form.
 
     Later attempts draw given names, surnames and addresses from longer, so many more, possible ones.
@@ -286,23 +298,35 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
         cut = max(value.find("_"), value.find("-")) + 1 if not value.startswith("AKIA") else 4
         return value[:cut] + _letters(own, kind, value[cut:])
     if kind == "iban":
-        return _shaped(_letters(own, kind, plain[2:]), str.isalnum, value[2:]).join([value[:2], ""])
+        fresh = plain[:2] + _letters(own, kind, plain[2:])
+        if _mod97(plain) == 1:  # a valid checksum stays valid
+            fresh = f"{fresh[:2]}{98 - _mod97(f'{fresh[:2]}00{fresh[4:]}'):02d}{fresh[4:]}"
+        return _shaped(fresh, str.isalnum, value)
     leave = max(0, len(plain) - 11) if kind == "phone" and plain.startswith("+") else 0
     return _shaped(_digits(own, plain, leave, alike=_luhn if kind == "card" else len), str.isdigit, value)
 
 
-def keys_for(attempts: dict[str, int], key: bytes = KEY) -> dict[str, tuple[bytes, int]]:
+def key_of(spark: SparkSession, otherwise: bytes | None = None) -> bytes:
+    """The key that the session is set to; without one, the other, and without that there is no going on."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and otherwise is None:
+        raise ValueError(f"surrogates need a secret key: set {KEY_SETTING}")
+    return key.encode() if key else otherwise
+
+
+def keys_for(attempts: dict[str, int], key: bytes) -> dict[str, tuple[bytes, int]]:
     """A key and the attempt's number for each type; a type that has been keyed anew has another key."""
     return {kind: (hashlib.sha256(key + b"/%d" % n).digest() if (n := attempts.get(kind, 0)) else key, n) for kind, _ in PATTERNS}
 
 
 def replaced(text: str, found: list[tuple[int, int, str]], keys: dict[str, tuple[bytes, int]]) -> str:
-    """The text with its entities' replacements; a bare name gets what replaces it after a title."""
+    """The text with its entities' replacements; a bare name gets what replaces it after a title or a given name."""
     out, at, known = [], 0, {}
-    for start, end, kind in found:
-        if kind == "person" and _named(text[start:end])[0]:
-            fresh = surrogate(kind, text[start:end], *keys[kind])
-            known = dict(zip(_bare(text[start:end]), _bare(fresh), strict=True)) | known
+    people = [text[start:end] for start, end, kind in found if kind == "person"]
+    for value in sorted(people, key=lambda v: not _named(v)[0]):  # the titled ones first
+        if _named(value)[0] or value not in known and _full(value):
+            fresh = surrogate("person", value, *keys["person"])
+            known = dict(zip(_bare(value), _bare(fresh), strict=True)) | known
     for start, end, kind in found:
         value = text[start:end]
         out += [text[at:start], known[value] if kind == "person" and not _named(value)[0] else surrogate(kind, value, *keys[kind])]
@@ -315,14 +339,14 @@ def known_entities(df: DataFrame, text: str, keys: dict[str, tuple[bytes, int]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            seen = {(kind, normal(kind, t[a:b])): t[a:b] for t in batch.column(0).to_pylist() for a, b, kind in entities(t) if kind != "person" or _named(t[a:b])[0]}
+            seen = {(kind, normal(kind, t[a:b])): t[a:b] for t in batch.column(0).to_pylist() for a, b, kind in entities(t) if kind != "person" or _named(t[a:b])[0] or _full(t[a:b])}
             rows = [(kind, entity, normal(kind, surrogate(kind, value, *keys[kind]))) for (kind, entity), value in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "entity", "surrogate"])
 
     return df.select(text).mapInArrow(run, "kind string, entity string, surrogate string")
 
 
-def settled_keys(df: DataFrame, text: str = "text", key: bytes = KEY) -> dict[str, tuple[bytes, int]]:
+def settled_keys(df: DataFrame, text: str, key: bytes) -> dict[str, tuple[bytes, int]]:
     """Keys under which no two entities of the texts share a surrogate, one for each type.
 
     Collisions are counted by aggregation over the distinct entities; only their number a type comes to the driver.
@@ -338,13 +362,15 @@ def settled_keys(df: DataFrame, text: str = "text", key: bytes = KEY) -> dict[st
     raise ValueError(f"surrogates of {sorted(found)} collide under {ATTEMPTS} keys")
 
 
-def with_surrogates(df: DataFrame, text: str = "text", key: bytes = KEY, count: str | None = None) -> DataFrame:
+def with_surrogates(df: DataFrame, text: str = "text", key: bytes | None = None, count: str | None = None) -> DataFrame:
     """df with the text's entities replaced; count names a column to add, the number of entities replaced.
 
+    The key is the session's unless one is given; who knows it can take digits' replacements back, so keep it.
+
     Null and empty texts stay as they are. All other columns, and all rows, stay; the same entity has the same
     surrogate in every row, and different entities of a type have different ones.
     """
-    keys = settled_keys(df, text, key)
+    keys = settled_keys(df, text, key or key_of(df.sparkSession))
     place = df.columns.index(text)
     schema = df.select("*", F.lit(0).cast("long").alias(count)).schema if count else df.schema
     names = [f.name for f in schema.fields]
