@@ -100,10 +100,13 @@ def scan(worded: DataFrame, idf: dict[str, float], words: str = "__w", out: str
     """worded with a struct of places (base phrases, as phrase_places), labels (the templates' that lie in the file),
     and score, the largest share of a template's words that stand at their places (1 for a base phrase; 0 for none).
 
-    A file without words has no places, no labels and score 0. Every row and column stays.
+    A file without words has no places, no labels and score 0. Every row and column stays, whatever its name, but one
+    named as out is replaced. Of words that tie in rarity, a template's first ones are indexed.
     """
     index = postings(idf)
-    w = F.col(words)
+    kept = [c for c in worded.columns if c != out]
+    worded = worded.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{words}`").alias("__words"))
+    w = F.col("__words")
     rows = lambda items: F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(n).alias("n")) for t, p, n in items))
     table = F.create_map(*(x for word, items in index.items() for x in (F.lit(word), rows(items))))
     df = worded.withColumns({"__places": phrase_places(w, PHRASES, {"apache-2": 0}), "__own": F.array_intersect(_array(list(index)), w)})
@@ -137,7 +140,7 @@ def scan(worded: DataFrame, idf: dict[str, float], words: str = "__w", out: str
     best = F.aggregate(verified, F.lit(0.0), lambda a, v: F.greatest(a, v["share"]))
     score = F.when(F.size("__places") > 0, 1.0).otherwise(best)
     made = F.struct(F.col("__places").alias("places"), F.array_distinct(F.transform(verified, lambda v: v["label"])).alias("labels"), score.alias("score"))
-    return df.withColumn(out, made).drop("__places", "__own", "__hits", "__votes", "__shifts", "__verified")
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), made.alias(out))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", words: str = "__w", out: str = "__found") -> DataFrame:
