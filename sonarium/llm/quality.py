@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarium.llm.shared import words_of
+from sonarium.llm.shared import stored, words_of
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -24,10 +24,12 @@ COMMON_WORDS = {
 SYMBOLS = "[#*$%&|<>]"
 #: Character classes, counted in what is left of a text without a-z; white space is the last but one.
 CLASSES = ["[A-Z]", "[0-9]", r"[^\x00-\x7F]", r"[.,;:!?'\x22()-]", SYMBOLS, r"[\x20\x09-\x0D]"]
+#: What separates words, before A-Z are lower-cased, where common words are counted: ASCII but letters and digits.
+PLAIN_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_WORDS = 50
 #: Words from which the common-word histogram counts.
 GUARD_WORDS = 100
-#: Documents of a language from which it has a reference of its own.
+#: Long documents of a language, or of all, from which there is a reference.
 GUARD_DOCUMENTS = 30
 CLASS_LIMIT = 0.3
 #: The limit of the common words' distance at n words is this plus 1 / sqrt(n), as a sample of n words strays by itself.
@@ -71,25 +73,29 @@ def _repeat_words(words: Column) -> list[tuple[str, Column]]:
 
 def measure(df: DataFrame, text: str = "text", out: str = "__quality", rules: bool = True) -> DataFrame:
     """df with a struct of the text's figures: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars,
-    classes and common (arrays of counts). rules=False leaves out what only the plain rules need.
+    classes and common (arrays of counts), n_plain. rules=False leaves out what only the plain rules need.
 
-    A null or empty text has no words and zero everywhere. No other column is read, changed or dropped, and no row.
+    A null or empty text has no words and zero everywhere. All columns, whatever their names, and rows stay; only one
+    named as out is replaced. Common words are counted in the lower-cased text, without the marks beside them.
     """
-    text_of = F.coalesce(F.col(text), F.lit(""))
+    kept = [c for c in df.columns if c != out]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{text}`").alias("text"))
+    text_of = F.coalesce(F.col("text"), F.lit(""))
     vocabulary = _vocabulary()
-    df = df.withColumns({"__w": words_of(F.col(text)), "__t": F.regexp_replace(text_of, "[a-z]+", "")})
-    df = df.withColumns({"__c": F.filter("__w", lambda w: w.isin(vocabulary)), "__k": F.array(*(F.regexp_count("__t", F.lit(c)).cast("long") for c in CLASSES))})
+    plain = F.split(F.lower(text_of), PLAIN_BREAK)
+    df = df.withColumns({"__w": words_of(F.col("text")), "__t": F.regexp_replace(text_of, "[a-z]+", ""), "__a": plain})
+    df = df.withColumns({"__c": F.filter("__a", lambda w: w.isin(vocabulary)), "__k": F.array(*(F.regexp_count("__t", F.lit(c)).cast("long") for c in CLASSES))})
     df = df.withColumn("__v", F.array(*(F.size(F.filter("__c", _is(k))).cast("long") for k in vocabulary)))
-    figures = {"n_words": F.size("__w").cast("long"), "n_chars": F.length(text_of).cast("long"), "classes": F.col("__k"), "common": F.col("__v"), "n_symbols": F.get("__k", F.lit(4)), "word_chars": F.length(text_of) - F.get("__k", F.lit(5)), "left": F.length("__t").cast("long")}
-    used = ["__w", "__t", "__c", "__k", "__v"]
+    figures = {"n_words": F.size("__w").cast("long"), "n_chars": F.length(text_of).cast("long"), "classes": F.col("__k"), "common": F.col("__v"), "n_plain": F.size(F.array_remove("__a", "")).cast("long"), "n_symbols": F.get("__k", F.lit(4)), "word_chars": F.length(text_of) - F.get("__k", F.lit(5)), "left": F.length("__t").cast("long")}
     if rules:
         for name, column in _repeat_words(F.col("__w")):
-            df, used = df.withColumn(name, column), [*used, name]
-        df, used = df.withColumn("__l", F.filter(F.split(text_of, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), [*used, "__l"]
+            df = df.withColumn(name, column)
+        df = df.withColumn("__l", F.filter(F.split(text_of, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
         figures |= {"n_repeat_words": F.col("__r"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")}
     # a row number is never negative; as it counts as nondeterministic, no later filter on the figures is moved below this
     # projection, where they would be worked out anew for every word
-    return df.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.struct(*(c.alias(n) for n, c in figures.items())))).drop(*used)
+    made = F.when(F.monotonically_increasing_id() >= 0, F.struct(*(c.alias(n) for n, c in figures.items())))
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), made.alias(out))
 
 
 def base_failed(q: Column, min_words: int = MIN_WORDS) -> Column:
@@ -102,8 +108,8 @@ def histograms(q: Column) -> tuple[Column, Column]:
     total = F.aggregate(q["classes"], F.lit(0).cast("long"), lambda a, c: a + c)
     classes = F.concat(F.array(q["n_chars"] - q["left"]), q["classes"], F.array(q["left"] - total))
     known = F.aggregate(q["common"], F.lit(0).cast("long"), lambda a, c: a + c)
-    common = F.concat(q["common"], F.array(q["n_words"] - known))
-    return F.transform(classes, lambda c: F.try_divide(c, q["n_chars"])), F.transform(common, lambda c: F.try_divide(c, q["n_words"]))
+    common = F.concat(q["common"], F.array(q["n_plain"] - known))
+    return F.transform(classes, lambda c: F.try_divide(c, q["n_chars"])), F.transform(common, lambda c: F.try_divide(c, q["n_plain"]))
 
 
 def references(measured: DataFrame, lang: str = "lang", column: str = "__quality") -> DataFrame:
@@ -128,14 +134,18 @@ def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", column: str
     """measured with a struct of base_failed, class_distance, word_distance and kept.
 
     A language with fewer than GUARD_DOCUMENTS long documents, and a null language without a reference, is compared
-    with the reference of all. Documents of fewer than GUARD_WORDS words, and all if there is no reference, have null
-    distances and are judged by the plain rules alone. Every row stays.
+    with the reference of all, if that has so many. Documents of fewer than GUARD_WORDS words, and all without a
+    reference, have null
+    distances and are judged by the plain rules alone. Every row and column stays, but one named as out is replaced.
     """
-    q = F.col(column)
+    kept = [c for c in measured.columns if c != out]
+    measured = measured.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{column}`").alias("q"), F.col(f"`{lang}`").alias("lang"))
+    q = F.col("q")
     own = refs.filter((~F.col("__all")) & (F.col("__n") >= GUARD_DOCUMENTS)).drop("__all", "__n")
     overall = refs.filter(F.col("__all")).first()  # one row, of fixed width
-    of_all = {name: F.array(*(F.lit(x).cast("double") for x in overall[name])) for name in ("__class", "__word")}
-    df = measured.join(own, F.col(lang).eqNullSafe(F.col("__lang")), "left")
+    enough_of_all = overall["__n"] >= GUARD_DOCUMENTS
+    of_all = {name: F.array(*(F.lit(x if enough_of_all else None).cast("double") for x in overall[name])) for name in ("__class", "__word")}
+    df = measured.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     of_class, of_word = histograms(q)
     enough = q["n_words"] >= GUARD_WORDS
     df = df.withColumns({
@@ -145,12 +155,18 @@ def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang", column: str
     failed = base_failed(q)
     apart = F.coalesce(F.col("__dc") > class_limit, F.lit(False)) | F.coalesce(F.col("__dw") > word_limit + 1 / F.sqrt(F.greatest(q["n_words"], F.lit(1))), F.lit(False))
     verdict = F.struct(failed.alias("base_failed"), F.col("__dc").alias("class_distance"), F.col("__dw").alias("word_distance"), (~failed & ~apart).alias("kept"))
-    return df.withColumn(out, verdict).drop("__lang", "__class", "__word", "__dc", "__dw")
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), verdict.alias(out))
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of df that pass the rules, with df's columns and nothing else."""
-    from sonarium.llm.shared import stored
+    """The rows of df that pass the rules, with df's columns and nothing else.
 
-    refs = stored(references(measure(df, text, rules=False), lang), "references")
-    return judge(measure(df, text), refs, lang).filter(F.col("__verdict.kept")).select(*(F.col(f"`{c}`") for c in df.columns))
+    Null and empty texts have too few words and go; equal rows are judged alike, and all of them stay or go; columns of
+    any name stay. Figures are worked out twice, for the references and for the verdicts, as storing texts with them
+    would write all of the input once more.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole")
+    given = df.select(whole, F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    refs = stored(references(measure(given.select("text", "lang"), rules=False)), "references")
+    kept = judge(measure(given), refs).filter(F.col("__verdict.kept"))
+    return kept.select(*(F.col(f"whole.`{c}`").alias(c) for c in df.columns))
