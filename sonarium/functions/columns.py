@@ -199,10 +199,24 @@ def sinusoidal_embedding(x: Column, size: int = 32, low: float = 1.0, high: floa
     return F.array(*(F.sin(x * s) for s in speeds), *(F.cos(x * s) for s in speeds))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value worked out once a row even where use has it inside a lambda of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rectified_pair(v: Column) -> Column:
-    """An array centred, scaled to unit length, and split into its positive and negative parts."""
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)))
-    unit = F.transform(v, lambda x: F.coalesce(F.try_divide(x - mean, norm), F.lit(0.0)))
-    return F.concat(F.transform(unit, lambda x: F.greatest(x, F.lit(0.0))), F.transform(unit, lambda x: F.greatest(-x, F.lit(0.0))))
+    """An array centred, scaled to unit length, and split into its positive and negative parts. Nulls count neither for
+    the mean nor for the length, and give 0.
+
+    Mean and length are bound once: written into the lambdas they would be worked out for every number, and the time
+    grow with the cube of an array's size.
+    """
+
+    def parts(d: Column, norm: Column) -> Column:
+        unit = F.transform(d, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+        return once(unit, lambda u: F.concat(F.transform(u, lambda x: F.greatest(x, F.lit(0.0))), F.transform(u, lambda x: F.greatest(-x, F.lit(0.0)))))
+
+    known = F.filter(v, lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+    length = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
+    return once(mean, lambda m: once(F.transform(v, lambda x: x - m), lambda d: once(length(d), lambda n: parts(d, n))))

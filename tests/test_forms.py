@@ -131,3 +131,20 @@ def test_transmits_and_places(spark):
     with pytest.raises(ValueError, match="no transmits"):
         loader.load_transmits(df.withColumn("key", F.lit("image")), [0])
     assert loader.padding(10, 4) == 2 and loader.padding(8, 4) == 0
+
+
+def test_rectified_pairs_of_long_arrays(spark):
+    """The time grows with an array's size, not with its cube; nulls are left out; constant and empty arrays are whole."""
+    import time
+
+    x = np.random.default_rng(5).normal(3, 2, 600)
+    arrays = [x.tolist(), [1.0, None, 3.0, 5.0], [2.0, 2.0], [], None]
+    df = spark.createDataFrame(list(enumerate(arrays)), "i int, v array<double>")
+    df.select(C.rectified_pair(F.slice("v", 1, 3))).collect()  # the session's start doesn't count
+    began = time.monotonic()
+    made = {r["i"]: r["p"] for r in df.select("i", C.rectified_pair(F.col("v")).alias("p")).collect()}
+    assert time.monotonic() - began < 15
+    unit = (x - x.mean()) / np.linalg.norm(x - x.mean())
+    assert made[0] == pytest.approx(np.maximum(np.concatenate((unit, -unit)), 0).tolist())
+    assert made[1] == pytest.approx([0, 0, 0, 2 / math.sqrt(8), 2 / math.sqrt(8), 0, 0, 0])
+    assert made[2] == [0] * 4 and made[3] == [] and made[4] is None
