@@ -53,14 +53,15 @@ def mu_expand(v: Column, mu: float = 255.0) -> Column:
     return F.signum(x) * (F.pow(F.lit(1.0 + mu), F.abs(x)) - 1) / mu
 
 
-def a_compress(v: Column, a: float = 87.6) -> Column:
-    x = clip(v, -1, 1)
+def a_compress(v: Column, a: float = 87.6, held: bool = True) -> Column:
+    """Values are held in [-1, 1] first, or else follow the law's curve beyond; so do those of a_expand."""
+    x = clip(v, -1, 1) if held else v
     size, scale = F.abs(x), 1 + math.log(a)
     return F.signum(x) * F.when(size < 1 / a, a * size / scale).otherwise((1 + F.ln(F.greatest(a * size, F.lit(1e-300)))) / scale)
 
 
-def a_expand(v: Column, a: float = 87.6) -> Column:
-    x = clip(v, -1, 1)
+def a_expand(v: Column, a: float = 87.6, held: bool = True) -> Column:
+    x = clip(v, -1, 1) if held else v
     size, scale = F.abs(x), 1 + math.log(a)
     return F.signum(x) * F.when(size < 1 / scale, size * scale / a).otherwise(F.exp(size * scale - 1) / a)
 
