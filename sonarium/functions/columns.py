@@ -43,18 +43,18 @@ def to_8bit(v: Column, low: float = -60.0, high: float = 0.0) -> Column:
     return F.floor(rescale(clip(v, low, high), (low, high), (0, 255))).cast("short")
 
 
-def mu_compress(v: Column, mu: float = 255.0) -> Column:
-    x = clip(v, -1, 1)
+def mu_compress(v: Column, mu: float = 255.0, held: bool = True) -> Column:
+    """Values are held in [-1, 1] first, or else follow the law's curve beyond; so do those of mu_expand and the A-law."""
+    x = clip(v, -1, 1) if held else v
     return F.signum(x) * F.ln(1 + mu * F.abs(x)) / math.log1p(mu)
 
 
-def mu_expand(v: Column, mu: float = 255.0) -> Column:
-    x = clip(v, -1, 1)
+def mu_expand(v: Column, mu: float = 255.0, held: bool = True) -> Column:
+    x = clip(v, -1, 1) if held else v
     return F.signum(x) * (F.pow(F.lit(1.0 + mu), F.abs(x)) - 1) / mu
 
 
 def a_compress(v: Column, a: float = 87.6, held: bool = True) -> Column:
-    """Values are held in [-1, 1] first, or else follow the law's curve beyond; so do those of a_expand."""
     x = clip(v, -1, 1) if held else v
     size, scale = F.abs(x), 1 + math.log(a)
     return F.signum(x) * F.when(size < 1 / a, a * size / scale).otherwise((1 + F.ln(F.greatest(a * size, F.lit(1e-300)))) / scale)
