@@ -137,12 +137,13 @@ def cropped_cone(df: DataFrame, cones: DataFrame, key: str, value: str = "value"
     return grid.select(key, "z", "x").join(moved, [key, "z", "x"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def grouped_paths(df: DataFrame, path: str, pattern: str, number: str = r"(\d+)") -> DataFrame:
-    """df with group, what a pattern's first part finds in the path, and the place in it, by the number in the name's end."""
+def grouped_paths(df: DataFrame, path: str, pattern: str, number: str = r"(\d+)", ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with group, what a pattern's first part finds in the path, and the place in it, by the number in the name's end.
+    Rows of equal paths go by the columns ties; without them their order isn't fixed."""
     name = F.element_at(F.split(path, "/"), -1)
     order = F.regexp_extract(name, number, 1).try_cast("bigint")
     df = df.withColumns({"group": F.regexp_extract(path, pattern, 1), "__n": order})
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.col("__n").asc_nulls_last(), path)) - 1).drop("__n")
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.col("__n").asc_nulls_last(), path, *ties)) - 1).drop("__n")
 
 
 def picked(df: DataFrame, wanted: list[int], axis: str, length: int | None = None) -> DataFrame:
